@@ -17,7 +17,7 @@ def _fs(uri: str):
 def open_write(uri: str):
     fs, path = _fs(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str):

@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    blocks = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    rows = read_archives(blocks, with_data=False).where("last")
+    return rows.select("page_id", "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orc_tokens import token_digests, write_token_ids
+
+    path = new_path(spark, "token-ids")
+    write_token_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_digests(spark, path)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +51,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_personal_data, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op5_quality_rules, op8_personal_data, op10_simhash_near_dedup)}
