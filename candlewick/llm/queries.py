@@ -31,6 +31,12 @@ def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import deduplicated_lines
+
+    return deduplicated_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -44,6 +50,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix, mixed
+
+    return mixed(table(spark, sf_dir, "documents"), Mix())
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -51,4 +63,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op5_quality_rules, op8_personal_data, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op3_line_dedup, op5_quality_rules, op8_personal_data, op9_source_mixing, op10_simhash_near_dedup)}
