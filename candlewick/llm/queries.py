@@ -44,6 +44,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import Machine, score, train
+
+    docs, labels, machine = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Machine()
+    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0
+    fitted = train(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")), machine)
+    out = score(docs, fitted, machine)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
@@ -63,4 +73,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op3_line_dedup, op5_quality_rules, op8_personal_data, op9_source_mixing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op3_line_dedup, op5_quality_rules, op6_factorisation_machine, op8_personal_data, op9_source_mixing, op10_simhash_near_dedup)}
