@@ -54,6 +54,12 @@ def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
@@ -73,4 +79,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op3_line_dedup, op5_quality_rules, op6_factorisation_machine, op8_personal_data, op9_source_mixing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op3_line_dedup, op5_quality_rules, op6_factorisation_machine, op7_nearest_neighbours, op8_personal_data, op9_source_mixing, op10_simhash_near_dedup)}
