@@ -37,6 +37,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_lattice import decode, encode
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_md5"), F.md5(F.col("text").cast("binary")).alias("decoded_md5"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -79,4 +88,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op3_line_dedup, op5_quality_rules, op6_factorisation_machine, op7_nearest_neighbours, op8_personal_data, op9_source_mixing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_orc_token_ids, op3_line_dedup, op4_sentencepiece_lattice, op5_quality_rules, op6_factorisation_machine, op7_nearest_neighbours, op8_personal_data, op9_source_mixing, op10_simhash_near_dedup)}
