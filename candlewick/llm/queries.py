@@ -37,15 +37,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_lines(table(spark, sf_dir, "documents"))
 
 
-def op4_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Ids of every text, decoded again: their number, and digests of ids and decoded text."""
     from .sentencepiece_lattice import decode, encode
 
     model = tokenizer_path("piece_bpe_32k.model")
-    back = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    back = decode(encode(docs, model), model)
     ids = F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_md5"), F.md5(F.col("text").cast("binary")).alias("decoded_md5"))
 
 
+def op4_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
