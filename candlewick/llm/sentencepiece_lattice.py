@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,10 +32,9 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import drop, new_path, written
 
 SPACE = "▁"
-SIGNS = ",.;:!?)\"|%$#*&"
 #: Chunks longer than this are folded by a heap, in n log n steps; the aggregate takes n * n.
 LONG = 96
 
@@ -59,9 +59,14 @@ class Pieces:
         return {i: r for r, i in enumerate(order)}
 
     def cut_signs(self) -> str:
-        """Those of SIGNS that no piece has after another character."""
-        inside = {c for t, u in zip(self.texts, self.usable) if u for c in t.lstrip(SPACE)[1:]}
-        return "".join(c for c in SIGNS if c not in inside)
+        """Signs before a run of which a text may be cut: in every piece, what stands before
+        one of them is a space or another of them. ASCII signs and those that they need."""
+        pairs = {(x, y) for t, u in zip(self.texts, self.usable) if u for x, y in zip(t, t[1:]) if x != SPACE}
+        signs, never = set(string.punctuation), set()
+        while open_ := {(x, y) for x, y in pairs if y in signs and x not in signs}:
+            never |= {y for x, y in open_ if x.isalpha() or x.isdecimal() or x.isspace() or x in never}
+            signs = (signs | {x for x, _ in open_ if not (x.isalpha() or x.isdecimal() or x.isspace())}) - never
+        return "".join(sorted(signs))
 
 
 @lru_cache(4)
@@ -85,9 +90,11 @@ def load(path: str) -> Pieces:
 
 
 def chunk_pattern(pieces: Pieces) -> str:
-    """Runs of spaces with what follows up to the next space, line end or cutting sign."""
-    stop = re.escape(pieces.cut_signs()).replace("\\\\", "\\")
-    return rf"{SPACE}*(?:[^{SPACE}\n{stop}]+|[{stop}][^{SPACE}\n{stop}]*|\n|$)" if stop else rf"{SPACE}*(?:[^{SPACE}\n]+|\n|$)"
+    """Runs of spaces with what follows up to the next space, line end or run of cutting signs."""
+    signs = "".join(f"\\{c}" if c.isascii() else c for c in pieces.cut_signs())
+    if not signs:
+        return rf"{SPACE}*(?:[^{SPACE}\n]+|\n|$)"
+    return rf"{SPACE}*(?:[^{SPACE}\n{signs}]+|[{signs}]+[^{SPACE}\n{signs}]*|\n|$)"
 
 
 def _marked(text: Column) -> Column:
@@ -95,34 +102,44 @@ def _marked(text: Column) -> Column:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    rank = pieces.rank()
-    return spark.createDataFrame([(pieces.texts[i], i, r, float(pieces.scores[i])) for i, r in rank.items()], "piece string, id int, rank int, score double")
+    return spark.createDataFrame([(pieces.texts[i], r) for i, r in pieces.rank().items()], "piece string, rank int")
+
+
+#: An edge is one long: place (64 * start + length) above, rank of its piece below.
+RANK_BITS = 24
 
 
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, n, edges) with edges: key 64 * start + length -> (id, rank, score)."""
-    spark = chunks.sparkSession
-    spans = F.expr(f"explode(flatten(transform(sequence(0, n - 1), i -> transform(sequence(1, least({pieces.longest}, n - i)), k -> struct(i, k)))))")
-    subs = chunks.withColumn("n", F.length("chunk")).where(F.col("n") <= LONG).select("chunk", "n", *[c for c in chunks.columns if c != "chunk"], spans.alias("s"))
-    subs = subs.withColumn("piece", F.substring("chunk", F.col("s.i") + 1, F.col("s.k")))
-    table = F.broadcast(piece_table(spark, pieces))  # the model's vocabulary, whatever the corpus
-    return subs.join(table, "piece", "left").withColumn("edge", F.when(F.col("id").isNotNull(), F.struct((64 * F.col("s.i") + F.col("s.k")).alias("key"), F.struct("id", "rank", "score").alias("value"))))
+    """(chunk, edge) for every substring of a chunk that is a piece; a chunk without any has
+    one row with a null edge."""
+    spans = F.expr(f"explode(flatten(transform(sequence(0, length(chunk) - 1), i -> transform(sequence(1, least({pieces.longest}, length(chunk) - i)), k -> 64 * i + k))))")
+    subs = chunks.select("chunk").where(F.length("chunk") <= LONG).select("chunk", spans.alias("s"))
+    subs = subs.withColumn("piece", F.expr("substring(chunk, cast(s div 64 AS int) + 1, cast(s % 64 AS int))"))
+    table = F.broadcast(piece_table(chunks.sparkSession, pieces))  # the model's vocabulary, whatever the corpus
+    edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR s = 1")
+    return edges.select("chunk", F.expr(f"shiftleft(cast(s AS bigint), {RANK_BITS}) | rank").alias("edge"))
 
 
 #: Cut points 0..n of a chunk; each step takes out the one whose merge has the least rank.
 _MERGED = """aggregate(sequence(1, greatest(1, n - 1)), struct(sequence(0, n) AS b, n < 2 AS done), (s, x) -> if(s.done, s,
-  transform(array(array_min(filter(transform(sequence(0, size(s.b) - 3), k -> struct(element_at(e, 64 * s.b[k] + s.b[k + 2] - s.b[k]).rank AS r, k AS k)), c -> c.r IS NOT NULL))),
+  transform(array(array_min(filter(transform(sequence(0, size(s.b) - 3), k -> struct(element_at(e, 64 * s.b[k] + s.b[k + 2] - s.b[k]) AS r, k AS k)), c -> c.r IS NOT NULL))),
             m -> if(m IS NULL, struct(s.b AS b, true AS done), struct(filter(s.b, (v, i) -> i <> m.k + 1) AS b, size(s.b) <= 3 AS done)))[0])).b"""
 
 #: Best (score, start of the last piece) for every end 1..n, then the cuts from the end back.
 _VITERBI = """aggregate(sequence(1, n), array(struct(0D AS s, 0 AS i)), (best, j) -> concat(best, array(array_max(transform(sequence(greatest(0, j - {longest}), j - 1),
-  i -> struct(best[i].s + coalesce(element_at(e, 64 * i + j - i).score, if(j - i = 1, {unknown}D, -1e30D)) AS s, i AS i))))),
+  i -> struct(best[i].s + coalesce(scores[element_at(e, 64 * i + j - i)], if(j - i = 1, {unknown}D, -1e30D)) AS s, i AS i))))),
   best -> array_sort(aggregate(sequence(1, n), array(n), (b, x) -> if(element_at(b, -1) = 0, b, concat(b, array(best[element_at(b, -1)].i))))))"""
 
 
-def folded(edges: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
-    """(chunk, keep, ids) of chunks of up to LONG characters."""
-    by_chunk = edges.groupBy("chunk").agg(F.first("n").alias("n"), *(F.first(c).alias(c) for c in keep), F.map_from_entries(F.collect_list("edge")).alias("e"))
+def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """(chunk, ids) of chunks of up to LONG characters."""
+    by_chunk = edges.groupBy("chunk").agg(F.collect_list("edge").alias("l")).withColumn("n", F.length("chunk"))
+    entry = lambda x: F.struct(F.shiftright(x, RANK_BITS).cast("int").alias("key"), x.bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int").alias("value"))
+    by_chunk = by_chunk.select("chunk", "n", F.map_from_entries(F.transform("l", entry)).alias("e"))
+    order = list(pieces.rank())
+    by_chunk = by_chunk.withColumn("of_rank", F.lit(order).cast("array<int>"))
+    if not pieces.bpe:
+        by_chunk = by_chunk.withColumn("scores", F.lit([float(pieces.scores[i]) for i in order]))
     fold = _MERGED if pieces.bpe else _VITERBI.format(longest=pieces.longest, unknown=min(pieces.scores) - 10)
     cuts = by_chunk.withColumn("b", F.expr(fold))
     first = pieces.byte_ids[0] if pieces.byte_ids else -1
@@ -130,8 +147,8 @@ def folded(edges: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
         raise ValueError("byte pieces must have ids in turn")
     byte = f"transform(sequence(0, octet_length(c) - 1), o -> {first} + cast(conv(substring(hex(encode(c, 'UTF-8')), 2 * o + 1, 2), 16, 10) AS int))" if pieces.byte_ids else f"array({pieces.unknown})"
     # a piece without an edge is one character that no piece holds
-    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, k) -> if(element_at(e, 64 * x + b[k + 1] - x) IS NOT NULL, array(element_at(e, 64 * x + b[k + 1] - x).id), flatten(transform(array(substring(chunk, x + 1, b[k + 1] - x)), c -> {byte})))))"
-    return cuts.select("chunk", *keep, F.expr(ids).alias("ids"))
+    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, k) -> if(element_at(e, 64 * x + b[k + 1] - x) IS NOT NULL, array(of_rank[element_at(e, 64 * x + b[k + 1] - x)]), flatten(transform(array(substring(chunk, x + 1, b[k + 1] - x)), c -> {byte})))))"
+    return cuts.select("chunk", F.expr(ids).alias("ids"))
 
 
 def merged_by_heap(chunk: str, pieces: Pieces, ids: dict[str, int], rank: dict[int, int]) -> list[int]:
@@ -170,13 +187,13 @@ def merged_by_heap(chunk: str, pieces: Pieces, ids: dict[str, int], rank: dict[i
     return out
 
 
-def chunk_ids(chunks: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
-    """(chunk, keep, ids) for rows of distinct chunks."""
+def chunk_ids(chunks: DataFrame, model_path: str) -> DataFrame:
+    """(chunk, ids) for rows of distinct chunks."""
     pieces = load(model_path)
-    short = folded(lattice(chunks, pieces), pieces, keep)
+    short = folded(lattice(chunks, pieces), pieces)
     if not pieces.bpe:
         return short
-    long = chunks.where(F.length("chunk") > LONG).select("chunk", *keep)
+    long = chunks.where(F.length("chunk") > LONG).select("chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model_path)
@@ -184,10 +201,9 @@ def chunk_ids(chunks: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
         ids = {p.texts[i]: i for i in rank}
         for batch in batches:
             made = [merged_by_heap(c.as_py(), p, ids, rank) for c in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], ["chunk", "ids"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.schema.fields)
-    return short.unionByName(long.mapInArrow(run, schema + ", ids array<int>"))
+    return short.unionByName(long.mapInArrow(run, "chunk string, ids array<int>"))
 
 
 def _split_key() -> list[Column]:
@@ -200,11 +216,12 @@ def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
     spark, pieces = docs.sparkSession, load(model_path)
     found = docs.select(*_split_key(), F.explode(F.regexp_extract_all(_marked(F.col(text_col).cast("string")), F.lit(chunk_pattern(pieces)), F.lit(0))).alias("chunk"))
     pairs = found.where("chunk <> ''").distinct()
-    where = pairs.groupBy("chunk").agg(F.collect_list(F.struct("_file", "_start")).alias("places"))
-    ids = chunk_ids(where, model_path, ["places"])
+    where, where_path = written(pairs.groupBy("chunk").agg(F.collect_list(F.struct("_file", "_start")).alias("places")), "chunks")
     path = new_path(spark, "chunk-ids")
-    rows = ids.select("chunk", "ids", F.explode("places").alias("place")).select("chunk", "ids", "place._file", "place._start")
+    rows = where.join(chunk_ids(where, model_path), "chunk").select("chunk", "ids", F.explode("places").alias("place")).select("chunk", "ids", "place._file", "place._start")
     rows.repartition("_file", "_start").write.partitionBy("_file", "_start").parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files
+    drop(spark, where_path)
     return path
 
 
@@ -232,7 +249,7 @@ class ChunkIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         out = b"".join(self.chunks[c] for c in self.pattern.findall(word) if c)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = out
         return out
 
@@ -255,8 +272,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     parts.append(b"")
                     continue
                 if place != (file, start):
+                    known = None  # the last split's ids go before the next one's come
                     place, known = (file, start), ChunkIds(folder, file, start, split)
-                parts.append(b"".join(map(known.__getitem__, words.findall(SPACE + t.replace(" ", SPACE)))))
+                plain = SPACE not in t and "  " not in t  # then words are what lies between spaces
+                cut = (SPACE + t.replace(" ", f" {SPACE}")).split(" ") if plain else words.findall(SPACE + t.replace(" ", SPACE))
+                parts.append(b"".join(map(known.__getitem__, cut)))
             offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))).astype(np.int32)
             ids = np.frombuffer(b"".join(parts), "<u4").view(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
@@ -277,7 +297,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = decoder(load(model_path))
         for batch in batches:
-            texts = [back(ids.as_py() or ()) for ids in batch.column(1)]
+            ids = batch.column(1)
+            flat, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist()
+            texts = [back(flat[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
