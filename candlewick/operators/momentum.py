@@ -172,7 +172,8 @@ def msw(b, x, period=5):
 def net_myrsi(b, x, period=14):
     """Concordance of the order of the last p values of MyRSI with time."""
     d = b.let(x - b.lag(x))
-    up, down = b.sum(b.let(F.greatest(d, F.lit(0.0))), period), b.sum(b.let(F.greatest(-d, F.lit(0.0))), period)
+    gain, loss = (b.let(F.when(d.isNotNull(), F.greatest(s * d, F.lit(0.0)))) for s in (1, -1))  # greatest passes over nulls
+    up, down = b.sum(gain, period), b.sum(loss, period)
     my = b.let(_share(up - down, up + down, 0))
     listed = b.listed(my, period)
     pairs = F.expr(f"flatten(transform(sequence(1, {period - 1}), i -> transform(sequence(0, i - 1), j -> struct(i AS i, j AS j))))") if period > 1 else F.array()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import OPERATORS
 from ..sources.candles import candles
 from . import runner
+from .machines import MACHINES
 from .oracles import DAILY, EXPRESSIONS, HOURLY, sql_of, sweep_sql
 
 DIGITS = 6
@@ -79,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {n: sql_of(n, DAILY if n in LONG else HOURLY, OPERATORS[n].outputs, COARSE.get(n, DIGITS)) for n in EXPRESSIONS}
+    out = {n: sql_of(layers, DAILY if n in LONG else HOURLY, OPERATORS[n].outputs, COARSE.get(n, DIGITS)) for n, layers in (EXPRESSIONS | MACHINES).items()}
     show = "series, ts, " + ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in ("open", "high", "low", "close", "volume"))
     return out | {"candles_hourly": f"WITH bars AS ({HOURLY}) SELECT {show} FROM bars", "candles_daily": f"WITH bars AS ({DAILY}) SELECT {show} FROM bars"} | sweep_sql(HOURLY, DIGITS)

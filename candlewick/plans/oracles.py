@@ -476,15 +476,15 @@ def shown(e: str, digits: int) -> str:
     return f"CASE WHEN abs({e}) < 1e9 THEN round({e}, {digits}) + 0.0 ELSE {e} END"
 
 
-def sql_of(name: str, bars: str, outputs: tuple[str, ...], digits: int) -> str:
+def sql_of(layers: Layers, bars: str, outputs: tuple[str, ...], digits: int) -> str:
     """The layers as nested queries; doubles are rounded as in the Spark query."""
     ctes, before = [f"bars AS ({bars})", "l0 AS (SELECT series, ts, open AS o, high AS h, low AS l, close AS c, volume AS v FROM bars)"], {"o", "h", "l", "c", "v"}
-    for k, layer in enumerate(EXPRESSIONS[name]):
-        keep = [c for c in sorted(before) if c not in layer]
+    for k, layer in enumerate(layers):
+        keep = [f'"{c}"' for c in sorted(before) if c not in layer]
         ctes.append(f"l{k + 1} AS (SELECT series, ts, {', '.join([*keep, *(f'{e} AS {n}' for n, e in layer.items())])} FROM l{k})")
         before |= set(layer)
-    last = f"l{len(EXPRESSIONS[name])}"
-    show = ", ".join(o if name == "ttm_trend" else shown(f"CAST({o} AS DOUBLE)", digits) + f" AS {o}" for o in outputs)
+    last = f"l{len(layers)}"
+    show = ", ".join(o if layers is EXPRESSIONS["ttm_trend"] else shown(f'CAST("{o}" AS DOUBLE)', digits) + f' AS "{o}"' for o in outputs)
     return f"WITH {', '.join(ctes)} SELECT series, ts, {show} FROM {last}"
 
 
