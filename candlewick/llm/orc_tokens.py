@@ -63,18 +63,19 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model, self.pieces = self.tokenizer.model, {}
+        self.bytes = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size() + 1)]
         self.plain = all(self._cut(w) == self._whole(w) for w in PROBES)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _cut(self, word: str) -> bytes:
-        out = []
+        out: list[bytes] = []
         for piece in PIECES.findall(word.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
                 shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
-                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+                ids = b"".join([self.bytes[t.id] for t in self.model.tokenize(shown)])
                 if len(self.pieces) < CACHE:
                     self.pieces[piece] = ids
             out.append(ids)
