@@ -32,11 +32,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/candlewick/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that are done: it does so when
+    nothing holds their plans any more, neither waiting events nor uncollected garbage."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, read again: its lineage ends at the files, so a
     lost executor costs only a new read. Returns the table and its path, for `drop`."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -51,5 +59,19 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker no longer uses back to the system: workers wait for
+    further tasks, and what they keep counts against their executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
