@@ -47,3 +47,10 @@ d AS (SELECT doc_id, no, len(ws) > 0 AND doc_id * 1000000 + no NOT IN (SELECT pl
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (gone), '') AS dropped FROM d GROUP BY doc_id
 """
 ORACLES["op3_line_dedup"] = LINES
+
+ORACLES["op1_warc_chunks"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM q
+"""
