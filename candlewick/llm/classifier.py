@@ -135,7 +135,7 @@ class Fitted:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, machine: Machine) -> Fitted:
     """AdaGrad on the logistic loss, one text at a time, in a seeded order each epoch."""
     ones = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < ones < 1:
+    if not len(labels) or not 0 < ones < 1:
         return Fitted(math.log(max(ones, 1e-6) / max(1 - ones, 1e-6)) if len(labels) else 0.0)
     rng = np.random.default_rng(machine.seed)
     w, v = np.zeros(size), rng.normal(0, 0.05, (size, machine.rank))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, written
+from .common import drop, give_back, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -88,6 +88,7 @@ def _with_counts(docs: DataFrame, text_col: str, name: str) -> DataFrame:
             found = np.array([counts(t.as_py()) for t in batch.column(at)], np.int64).reshape(-1, len(COUNTS))
             made = pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(COUNTS))], names=list(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*(f"c{i}" for i in range(batch.num_columns)), name])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, new_path, written
+from .common import drop, give_back, new_path, release, written
 
 SPACE = "▁"
 #: Chunks longer than this are folded by a heap, in n log n steps; the aggregate takes n * n.
@@ -220,7 +220,7 @@ def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
     path = new_path(spark, "chunk-ids")
     rows = where.join(chunk_ids(where, model_path), "chunk").select("chunk", "ids", F.explode("places").alias("place")).select("chunk", "ids", "place._file", "place._start")
     rows.repartition("_file", "_start").write.partitionBy("_file", "_start").parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files
+    release(spark)
     drop(spark, where_path)
     return path
 
@@ -274,12 +274,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 if place != (file, start):
                     known = None  # the last split's ids go before the next one's come
                     place, known = (file, start), ChunkIds(folder, file, start, split)
-                plain = SPACE not in t and "  " not in t  # then words are what lies between spaces
+                plain = SPACE not in t and "  " not in t and t[0] != " "  # then words are what lies between spaces
                 cut = (SPACE + t.replace(" ", f" {SPACE}")).split(" ") if plain else words.findall(SPACE + t.replace(" ", SPACE))
                 parts.append(b"".join(map(known.__getitem__, cut)))
             offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))).astype(np.int32)
             ids = np.frombuffer(b"".join(parts), "<u4").view(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
+            parts = ids = batch = None
+        known = None
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *_split_key()).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -298,8 +301,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         back = decoder(load(model_path))
         for batch in batches:
             ids = batch.column(1)
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist()
-            texts = [back(flat[a:b]) for a, b in zip(ends, ends[1:])]
+            flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+            texts = [back(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            texts = ids = flat = batch = None
+        give_back()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
