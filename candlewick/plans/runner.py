@@ -57,8 +57,6 @@ def fold_pass(df: DataFrame, series: Sequence[str], order: Sequence[str], jobs:
     Rows are dealt by series and sorted; each task then streams its partition batch by batch
     and starts anew at each series, so a series of any length needs one step's state and one
     batch in memory. Missing values come out as null."""
-    from ..operators import OPERATORS  # noqa: F401  executors load the table through this
-
     at = {c: i for i, c in enumerate(df.columns)}
     keys, ins = [at[c] for c in series], [[at[c] for c in cols] for _, cols, _, _ in jobs]
     names = [n for *_, outs in jobs for n in outs]
