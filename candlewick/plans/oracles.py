@@ -318,7 +318,7 @@ EXPRESSIONS: dict[str, Layers] = {
     "cg": values(f"CASE WHEN {n_valid('c')} > 10 THEN -({' + '.join(f'{k + 1} * {lag("c", k)}' for k in range(9))}) / ({' + '.join(lag('c', k) for k in range(9))}) END"),
     "cmo": [*R14[:-1], {"values": "CASE WHEN g_ + w_ = 0 THEN 0 ELSE 100 * (g_ - w_) / (g_ + w_) END"}],
     "coppock": values(fir("b", linear(10)), {"b": f"100 * (c / {lag('c', 11)} - 1) + 100 * (c / {lag('c', 14)} - 1)"}),
-    "cvi": values(f"CASE WHEN {n_valid('c')} >= 20 THEN 100 * (q - {lag('q', 10)}) / {lag('q', 10)} END", {"q": ema0("(h - l)", 10)}),
+    "cvi": values(f"CASE WHEN {n_valid('c')} >= 20 AND {lag('q', 10)} <> 0 THEN 100 * (q - {lag('q', 10)}) / {lag('q', 10)} END", {"q": ema0("(h - l)", 10)}),
     "dpo": values(f"{lag('c', 3)} - {roll('avg', 'c', 5)}"),
     "dti": values("CASE WHEN q3 = 0 THEN 0 ELSE 100 * p3 / q3 END", PREV, {"x": "CASE WHEN ph IS NOT NULL THEN greatest(h - ph, 0) - greatest(pl - l, 0) END"},
                   {"p1": f"CASE WHEN x IS NOT NULL THEN list_reduce(list_prepend(0.0, {so_far('x')}), lambda y, z: y + {2 / 15!r} * (z - y)) END", "q1": f"CASE WHEN x IS NOT NULL THEN list_reduce(list_prepend(0.0, {so_far('abs(x)')}), lambda y, z: y + {2 / 15!r} * (z - y)) END"},
