@@ -39,10 +39,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Ids of every text, decoded again: their number, and digests of ids and decoded text."""
-    from .sentencepiece_lattice import decode, encode
+    from .sentencepiece_lattice import encode
 
-    model = tokenizer_path("piece_bpe_32k.model")
-    back = decode(encode(docs, model), model)
+    back = encode(docs, tokenizer_path("piece_bpe_32k.model"), decoded=True)
     ids = F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_md5"), F.md5(F.col("text").cast("binary")).alias("decoded_md5"))
 

@@ -254,16 +254,18 @@ class ChunkIds(dict):
         return out
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) for every row. docs is a table of files, read with at most
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) for every row; decoded: also the text that the ids decode to,
+    in the same pass, which spares a second Python worker for each task. docs is a table of files, read with at most
     filters and projections; anything else is written to the shared folder first."""
     if not docs.inputFiles() or re.search(r"Exchange|Join|Aggregate|Python|Arrow|Pandas|Window", docs._jdf.queryExecution().executedPlan().toString()):
         docs, _ = written(docs.select(id_col, text_col), "texts")
     folder, pattern = dictionary(docs, model_path, text_col), chunk_pattern(load(model_path))
-    word = rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
+    word, names = rf"{SPACE}*[^{SPACE}]+|{SPACE}+", ["doc_id", "ids", "text"][: 2 + decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, split, place = re.compile(word), re.compile(pattern), None
+        back = decoder(load(model_path)) if decoded else None
         for batch in batches:
             parts = []
             for text, file, start in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -279,12 +281,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 parts.append(b"".join(map(known.__getitem__, cut)))
             offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))).astype(np.int32)
             ids = np.frombuffer(b"".join(parts), "<u4").view(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
-            parts = ids = batch = None
+            out = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+            if back:
+                out.append(pa.array((back(np.frombuffer(p, "<u4").tolist()) for p in parts), pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names)
+            parts = ids = out = batch = None
         known = None
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *_split_key()).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *_split_key()).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decoder(pieces: Pieces):
