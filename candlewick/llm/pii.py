@@ -219,7 +219,7 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that only the rewritten text shows and that meet no base span of their kind."""
+    """Spans that only the rewritten text shows and that no base span of their kind holds."""
     tape = Tape(text)
     for transducer in (lookalikes, spelled_digits, plus_signs, _disguises):
         tape.rewrite(transducer(tape.text))
@@ -231,7 +231,7 @@ def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
             if not any(tape.made[a:b]) or kind == "email" and not re.search(r"\.[A-Za-z]{2,}$", tape.text[a:b]):
                 continue
             x, y = tape.source((a, b))
-            if not any(x < d and c < y for c, d in base[kind]):
+            if not any(c <= x and y <= d for c, d in base[kind]):
                 out.setdefault(kind, []).append((x, y))
     return out
 

@@ -156,6 +156,29 @@ def test_disguises_are_mapped_back(text, kind, found):
     assert not base[kind] and [text[a:b] for a, b in every[kind]] == [found]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "plain", "whole"),
+    [
+        ("jоhn.smith@example.com", "email", "hn.smith@example.com", "jоhn.smith@example.com"),
+        ("so jo\u00adhn@example.com", "email", "hn@example.com", "jo\u00adhn@example.com"),
+        ("john@mail.exаmple.com", "email", "john@mail.ex", "john@mail.exаmple.com"),
+        ("john@example.cоm", "email", "john@example.c", "john@example.cоm"),
+        ("anna@mail.example dot com", "email", "anna@mail.example", "anna@mail.example dot com"),
+        ("ring +1 988 555 248５ now", "phone", "+1 988 555 248", "+1 988 555 248５"),
+    ],
+)
+def test_disguised_parts_beside_a_base_span(text, kind, plain, whole):
+    base, every = pii.spans(text)
+    assert [text[a:b] for a, b in base[kind]] == [plain]
+    assert sorted(text[a:b] for a, b in every[kind]) == sorted([plain, whole])
+
+
+@pytest.mark.parametrize("text", ["a@b.co\u200b x", "\u200ba@b.co é", "а a@b.co, 10.0.0.1 and +1 988 555 2485 о"])
+def test_rewrites_outside_base_spans_add_none(text):
+    base, every = pii.spans(text)
+    assert base["email"] and base == every
+
+
 @pytest.mark.parametrize("text", ["meet at noon, dot your i", "look at this one two three", "seven of nine", "at dot com", "a at b", "one at a time", "été à 5 · 6", "x" * 200_000, "1" * 200_000, "@" * 50_000])
 def test_clean_texts_are_left_alone(text):
     _, every = pii.spans(text)
