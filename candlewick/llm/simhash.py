@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, give_back, partitions, written
@@ -52,16 +52,18 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id long, fp long) for every row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """(doc_id long, fp long) for every row of docs, and `key`, a string, where one is given."""
+    keys = [] if key is None else [key.alias("key")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), width, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", "key"][: batch.num_columns])
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", key string" * len(keys))
 
 
 def _bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -281,22 +283,38 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return out
 
 
+def _placed(nodes: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints with the root of their component."""
+    roots = components(links(nodes, radius)).withColumnsRenamed({"node": "fp"})
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest id reachable over links."""
     spark = docs.sparkSession
     fps, _ = written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     nodes, nodes_path = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius)).withColumnsRenamed({"node": "fp"})
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _placed(nodes, radius)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of, _ = written(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
     drop(spark, nodes_path)
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; of rows that share this
-    id one stays. A row with a null id stays only if its whole component has none."""
-    id_col = how.get("id_col", "doc_id")
-    kept = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+def _id_and_text(id_col: str, text_col: str) -> Column:
+    """What rows of one id and one text have in common, and no others."""
+    text = F.md5(F.col(text_col).cast("string").cast("binary"))
+    return F.concat_ws(":", *(F.coalesce(c, F.lit("null")) for c in (F.col(id_col).cast("long").cast("string"), text)))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """One row of docs for each component: the one with the smallest id; of several texts
+    with this id, or where no row of the component has an id, the one with the smallest MD5,
+    a null text last. Rows with this id and text are alike: any one of them stays."""
+    spark, key = docs.sparkSession, _id_and_text(id_col, text_col)
+    fps, fps_path = written(fingerprints(docs, id_col, text_col, width, seed, key), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    nodes, nodes_path = written(fps.groupBy("fp").agg(first), "nodes")
+    kept, _ = written(_placed(nodes, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_kept")), "kept")
+    drop(spark, fps_path, nodes_path)
+    return docs.withColumn("_kept", key).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)

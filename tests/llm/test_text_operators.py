@@ -244,6 +244,26 @@ def test_components_of_every_row(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 == simhash.one_of_each_group(empty(spark)).count()
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null ids, one id with several texts, copies, repeated rows, null and empty texts."""
+    rng = random.Random(9)
+    apart = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(30)) for _ in range(12)]
+    rows = [(None, t) for t in apart[:5]] + [(None, apart[0]), (None, apart[0].upper())]  # without ids
+    rows += [(7, apart[5]), (None, apart[5]), (8, apart[5])]  # an id, copies of it
+    rows += [(9, apart[6]), (9, apart[7]), (9, apart[6])]  # one id, two texts
+    rows += [(10, apart[8]), (11, apart[8]), (11, apart[9])]  # 11 is a copy once, and once not
+    rows += [(12, None), (12, ""), (None, None), (13, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *CLASH.split(", "), "'k' AS key", "1 AS root")
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    first = min((apart[0], apart[0].upper()), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [(None, t) for t in (first, *apart[1:5])] + [(7, apart[5]), (9, apart[6]), (9, apart[7]), (10, apart[8]), (11, apart[9]), (12, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    fps = [brute_fingerprint(t) for _, t in rows]
+    assert len(got) == len(set(brute_components(range(len(rows)), fps)))
+
+
 @pytest.mark.parametrize("bucket", [40, 32_768])
 def test_links_join_what_is_near(spark, monkeypatch, bucket):
     """Dense groups, chains, and buckets too large for one task."""
