@@ -172,39 +172,54 @@ def plus_signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _disguises(text: str) -> list[tuple[int, int, str]]:
-    """at/dot disguises of addresses: a name, "at", and labels with "dot" between them, of
-    which one at least is in disguise; and "dot" between numbers."""
+    """at/dot disguises of addresses: a name, "at", and labels, with "dot" between the parts of
+    name and domain, of which one at least is in disguise; and "dot" between numbers."""
     if not HINT.search(text.lower()):
         return []
     dots = {m.start(): m for m in DOT.finditer(text)}
+    ends = {m.end(): m for m in dots.values()}
     out: list[tuple[int, int, str]] = []
     marks = sorted([(m.start(), m.end()) for m in AT.finditer(text)] + [(i, i + 1) for i, c in enumerate(text) if c == "@"])
     label = re.compile(r"[A-Za-z0-9-]+")
-    floor = 0
-    for a, b in marks:
-        if a < floor or a == 0 or text[a - 1] not in LOCAL:
-            continue
-        edits, at, labels = ([] if text[a:b] == "@" else [(a, b, "@")]), b, 0
-        spoken = False
+
+    def domain(a: int, b: int, plain: bool = False) -> tuple[list[tuple[int, int, str]], int] | None:
+        """Edits of "at" and the domain after it, and its end; plain: up to its first "dot"."""
+        edits, at, labels, spoken = ([] if text[a:b] == "@" else [(a, b, "@")]), b, 0, False
         while m := label.match(text, at):
             labels += 1
             at = m.end()
             if text.startswith(".", at) and label.match(text, at + 1):
                 at += 1
-            elif at in dots and label.match(text, dots[at].end()):
+            elif not plain and at in dots and label.match(text, dots[at].end()):
                 edits.append((at, dots[at].end(), "."))
                 spoken, at = True, dots[at].end()
             else:
                 break
         bare = bool(edits) and edits[0][2] == "@" and text[a:b].strip().isalpha()
-        if labels < 2 or not edits or (bare and not spoken):
+        return None if labels < 2 or (bare and not spoken) else (edits, at)
+
+    heads = {a: b for a, b in marks if a and text[a - 1] in LOCAL}
+    found: dict[int, tuple[list[tuple[int, int, str]], int] | None] = {}
+    floor = passed = 0
+    for a, b in heads.items():
+        if a < passed:
             continue
+        if (d := found.pop(a) if a in found else domain(a, b)) is None:
+            continue
+        edits, at = d
+        passed = at
+        if at in heads and (nxt := domain(at, heads[at])):  # what follows is the name of the next address
+            found[at] = nxt
+            if (d := domain(a, b, plain=True)) is None:
+                floor = b
+                continue
+            edits, at = d
         name = a  # names may hold disguised dots too
         while True:
             while name > floor and text[name - 1] in LOCAL:
                 name -= 1
-            before = next((m for m in dots.values() if m.end() == name and m.start() > floor and text[m.start() - 1] in LOCAL and "(" in m[0] + "(" and not m[0].strip().isalpha()), None)
-            if before is None:
+            before = ends.get(name)
+            if before is None or before.start() <= floor or text[before.start() - 1] not in LOCAL:
                 break
             edits.insert(0, (before.start(), before.end(), "."))
             name = before.start()

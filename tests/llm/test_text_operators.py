@@ -173,6 +173,26 @@ def test_disguised_parts_beside_a_base_span(text, kind, plain, whole):
     assert sorted(text[a:b] for a, b in every[kind]) == sorted([plain, whole])
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("john dot smith at example dot com", ["john dot smith at example dot com"]),
+        ("so john [dot] smith@example.com", ["john [dot] smith@example.com", "smith@example.com"]),
+        ("j dot r dot smith@example.com now", ["j dot r dot smith@example.com", "smith@example.com"]),
+        ("write to me at john dot smith at example dot com", ["john dot smith at example dot com"]),
+        ("a@b.com dot smith@example.com", ["a@b.com", "smith@example.com"]),
+        ("jane at example dot com at noon", ["jane at example dot com"]),
+        ("a@b.co jane (at) example.com", ["a@b.co", "jane (at) example.com"]),
+        ("a dot b " * 20_000 + "dot c@example.com", None),
+        ("x at " + "at dot " * 30_000 + "c@example.com", None),
+    ],
+)
+def test_names_with_disguised_dots(text, found):
+    _, every = pii.spans(text)
+    got = [text[a:b] for a, b in every["email"]]
+    assert got == found if found else len(got) == 2
+
+
 @pytest.mark.parametrize("text", ["a@b.co\u200b x", "\u200ba@b.co é", "а a@b.co, 10.0.0.1 and +1 988 555 2485 о"])
 def test_rewrites_outside_base_spans_add_none(text):
     base, every = pii.spans(text)
