@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import drop, written
 
+#: Vector lengths whose results are in one plan; with more, they are written group by group.
+WIDTHS = 100
+
 
 @dataclass(frozen=True)
 class Index:
@@ -108,11 +112,12 @@ def search(vectors: DataFrame, queries: Column, index: Index = Index(), id_col:
     few = rows.select("vec_id", "v", "h1", "h2").distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= index.k + 1)
     base, _ = written(few.groupBy("h1", "h2").agg(F.min("vec_id").alias("key"), F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     asked, _ = written(slim.where("asks").select(F.col("vec_id").alias("query_id"), "h1", "h2").join(base, ["h1", "h2"]).select("query_id", "key", F.size("v").alias("width")), "queries")
-    widths = [w for (w,) in asked.select("width").distinct().orderBy("width").limit(1000).collect()]
-    found = [_search(base.where(F.size("v") == w).select("key", "v"), asked.where(F.col("width") == w).select("key").distinct(), w, index) for w in widths]
-    out = found[0] if found else spark.createDataFrame([], "q long, key long")
-    for more in found[1:]:
-        out = out.unionByName(more)
+    widths = [w for (w,) in asked.select("width").distinct().orderBy("width").collect()]
+    out = spark.createDataFrame([], "q long, key long")
+    for at in range(0, len(widths), WIDTHS):
+        found = [_search(base.where(F.size("v") == w).select("key", "v"), asked.where(F.col("width") == w).select("key").distinct(), w, index) for w in widths[at : at + WIDTHS]]
+        some = reduce(DataFrame.unionByName, found)
+        out = some if len(widths) <= WIDTHS else out.unionByName(written(some, "neighbours")[0])
     near = out.join(base.select("key", F.col("v").alias("x"), "ids"), "key").join(base.select(F.col("key").alias("q"), "v"), "q")
     near = near.withColumn("score", F.aggregate(F.zip_with("v", "x", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t))
     each = asked.select("query_id", F.col("key").alias("q")).join(near.select("q", "ids", "score"), "q").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")

@@ -66,6 +66,18 @@ def vectors(n, d, seed=0):
     return [(i, [float(v) for v in np.float32(row)]) for i, row in enumerate(x)]
 
 
+def test_every_vector_length_is_searched(spark, monkeypatch):
+    """Any limit on rows is scaled down to two here: no length may depend on one."""
+    from pyspark.sql import functions as F
+
+    for cls in {neighbours.DataFrame, type(spark.range(1))}:
+        monkeypatch.setattr(cls, "limit", lambda self, n, limit=cls.limit: limit(self, min(n, 2)))
+    monkeypatch.setattr(neighbours, "WIDTHS", 2, raising=False)
+    df = spark.createDataFrame([(10 * w + i, [float(i + 1)] * w) for w in range(1, 4) for i in range(3)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 10 == 0).collect()}
+    assert got == {(10 * w, 10 * w + i) for w in range(1, 4) for i in (1, 2)}
+
+
 def test_neighbours(spark):
     rows = vectors(1500, 16)
     odd = [(5001, None), (5002, [0.0] * 16), (5003, [float("nan")] + [1.0] * 15), (5004, [float("inf")] + [1.0] * 15), (5005, [None] + [1.0] * 15), (None, [1.0] * 16), rows[20], rows[40]]
