@@ -182,19 +182,22 @@ def ehlers_pma(b, x):
 @native(memory=lambda length, **_: None)
 def volume_adjusted_ma(b, x, v, length=13, vi_factor=0.67, strict=True, sample_period=0):
     """Bars count by volume over vi_factor * mean volume, back until their weights reach
-    `length`; if not strict, at most `length` bars. The mean is over all bars so far, or the
-    last sample_period."""
+    `length` (10 * length bars at most); if not strict, `length` bars whatever their weights.
+    What the weights exceed or lack counts at the price of the bar before those. The mean is
+    over all bars so far, or the last sample_period."""
     mean = b.running(v) / b.valid(v) if sample_period == 0 else b.mean(v, sample_period)
-    unit = b.let(mean * vi_factor)
+    unit = b.let(F.when(mean * vi_factor > 0, mean * vi_factor))
     most = 10 * length if strict else length
     pair = b.let(F.struct(x.alias("x"), v.alias("v")))
-    listed = F.reverse(F.collect_list(F.when(x.isNotNull() & v.isNotNull(), pair)).over(b.rows(most)))
-    start = F.struct(F.lit(0.0).alias("xs"), F.lit(0.0).alias("ws"))
+    listed = b.let(F.reverse(F.collect_list(pair).over(b.rows(most + 1))))
+    start = F.struct(F.lit(0.0).alias("xs"), F.lit(0.0).alias("ws"), F.lit(0).alias("bars"))
 
     def add(s, e):
-        w = F.when(unit > 0, e["v"] / unit).otherwise(0.0)
-        w = F.least(w, F.lit(float(length)) - s["ws"])
-        return F.struct((s["xs"] + e["x"] * w).alias("xs"), (s["ws"] + w).alias("ws"))
-
-    s = F.aggregate(listed, start, add)
-    return F.when((b.valid(x) >= length) & (s["ws"] > 0), s["xs"] / s["ws"])
+        w = F.coalesce(e["v"] / unit, F.lit(0.0))
+        more = F.struct((s["xs"] + F.coalesce(e["x"] * w, F.lit(0.0))).alias("xs"), (s["ws"] + w).alias("ws"), (s["bars"] + 1).alias("bars"))
+        return F.when(s["ws"] < float(length), more).otherwise(s) if strict else more
+
+    s = b.let(F.aggregate(F.slice(listed, 1, most), start, add))
+    before = F.get(listed, s["bars"])["x"]
+    out = (s["xs"] - (s["ws"] - length) * before) / length
+    return F.when(b.valid(x) >= length, out)

@@ -167,6 +167,23 @@ def ift_rsi(rsi_period=5, wma_period=9):
     return step
 
 
+def laguerre(alpha):
+    """Gains over all moves between four Laguerre filters that start at zero."""
+    g, s = 1 - alpha, [0.0] * 4
+
+    def step(x):
+        nonlocal s
+        n0 = alpha * x + g * s[0]
+        n1 = s[0] - g * n0 + g * s[1]
+        n2 = s[1] - g * n1 + g * s[2]
+        s = [n0, n1, n2, s[2] - g * n2 + g * s[3]]
+        moves = [x - y for x, y in zip(s, s[1:])]
+        way = sum(map(abs, moves))
+        return sum(m for m in moves if m > 0) / way if way else NAN
+
+    return step
+
+
 @fold("h l")
 def lrsi(alpha=0.2):
     g, s = 1 - alpha, None
@@ -228,7 +245,7 @@ def mod_god_mode(n1=17, n2=6, n3=4, mode="tradition_mg", use_volume=False):
     """The mean of a mode's parts that are there; signal is its plain mean over 6 bars."""
     parts = {"godmode": "tci csi mf willy", "tradition": "tci mf rsi", "godmode_mg": "tci csi_mg mf willy cbci lrsi", "tradition_mg": "tci mf rsi cbci lrsi"}[mode].split()
     e1, e2, e3 = Ema0(n1), Ema0(n1), Ema0(n2)
-    r3, lag, re = Rsi(n3), lrsi(0.3), Ema0(n3)
+    r3, lag, re = Rsi(n3, flat=100.0), laguerre(0.7), Ema0(n3)
     rq, top, low = deque(maxlen=n2 + 1), Max(n2), Min(n2)
     tsi_a, tsi_b, tsi_c, tsi_d = Ema0(n1), Ema0(n2), Ema0(n1), Ema0(n2)
     pos, neg, tp0, c0 = Sum(n3), Sum(n3), NAN, NAN
@@ -249,22 +266,21 @@ def mod_god_mode(n1=17, n2=6, n3=4, mode="tradition_mg", use_volume=False):
             smooth = re(r)
             if len(rq) > n2:
                 got["cbci"] = r - rq[0] + smooth
-        got["lrsi"] = 100 * lag(c, c)
-        hi, lo = top(h), low(l)
+        got["lrsi"] = 100 * lag(c)
+        hi, lo = top(c), low(c)
         if hi == hi and hi != lo:
             got["willy"] = 60 * (c - hi) / (hi - lo) + 80
         if c0 == c0:
             m = c - c0
             a, b = tsi_b(tsi_a(m)), tsi_d(tsi_c(abs(m)))
-            t = 100 * a / b if b else 0.0
-            got["csi"] = (r + t * 0.5 + 50) / 2
-            got["csi_mg"] = (r + t * 0.5 + 50) / 2
+            if b:
+                got["csi"] = got["csi_mg"] = (r + 50 * a / b + 50) / 2
         tp = (h + l + c) / 3
         if use_volume and v == v:
-            flow = tp * v
-            p, q = pos(flow if tp > tp0 else 0.0), neg(flow if tp < tp0 else 0.0)
-            if p == p and p + q:
-                got["mf"] = 100 * p / (p + q)
+            if tp0 == tp0:  # the first bar has no flow
+                p, q = pos(tp * v if tp > tp0 else 0.0), neg(tp * v if tp < tp0 else 0.0)
+                if p == p:
+                    got["mf"] = 100 * p / (p + q) if q else 100.0
         else:
             got["mf"] = r
         tp0, c0 = tp, c
@@ -363,8 +379,10 @@ def rsmk(lookback=90, period=3, signal_period=20, matype="ema", signal_matype="e
 
 @fold("x")
 def rsx(period=14):
-    """Three doubly smoothed stages of the change and of its size."""
-    f, n, x0 = 3 / (period + 2), 0, NAN
+    """Three doubly smoothed stages of the change and of its size, from bar `period` on. Until
+    `settle` bars more have gone by, and again after as many bars without any change at the
+    start, the value is 50."""
+    f, n, x0, settle, seen, moved = 3 / (period + 2), 0, NAN, max(period - 1, 5), 1, False
 
     def stage():
         a = b = 0.0
@@ -380,16 +398,19 @@ def rsx(period=14):
     num, den = [stage() for _ in range(3)], [stage() for _ in range(3)]
 
     def step(x):
-        nonlocal n, x0
+        nonlocal n, x0, seen, moved
         n += 1
-        d, x0 = (0.0 if x0 != x0 else 100 * (x - x0)), x
-        a, b = d, abs(d)
-        if n > 1:
-            for p, q in zip(num, den):
-                a, b = p(a), q(b)
-        if n < period:
+        d, x0 = 100 * (x - x0), x
+        if n <= period:
             return NAN
-        return clamp((a / b + 1) * 50, 0.0, 100.0) if n > period and b > 1e-10 else 50.0
+        a, b = d, abs(d)
+        for p, q in zip(num, den):
+            a, b = p(a), q(b)
+        seen = min(seen, settle) + 1
+        moved = moved or (seen <= settle and d != 0)
+        if seen == settle and not moved:
+            seen = 0
+        return clamp((a / b + 1) * 50, 0.0, 100.0) if seen > settle and b > 1e-10 else 50.0
 
     return step
 

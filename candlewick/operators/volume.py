@@ -132,16 +132,23 @@ def vpci(b, c, v, short_range=5, long_range=25):
     return {"vpci": out, "vpcis": b.sum(b.let(out * v), short_range) / b.sum(v, short_range)}
 
 
-@native(memory=lambda **p: None)
+@native(memory=lambda fast_period, slow_period, multiplier: 200 + 2 * slow_period)
 def avsl(b, c, l, v, fast_period=12, slow_period=26, multiplier=2.0):  # noqa: E741
-    """The window of the price part depends on the data: it is taken from a list of the bars
-    that it may reach back to, at most 4 * slow_period."""
-    vpc, vpr, vm = _vpc(b, c, v, fast_period, slow_period)
+    """The window of the price part depends on the data (1 to 200 bars); its bars from before
+    the slow means exist count by their plain low. Without volume a weighted mean is the plain
+    one."""
+    cv = b.let(c * v)
+    slow, fast = b.let(b.mean(c, slow_period)), b.let(b.mean(c, fast_period))
+    weighted = lambda p, plain: F.when(b.sum(v, p) != 0, b.sum(cv, p) / b.sum(v, p)).otherwise(plain)
+    vpc = b.let(weighted(slow_period, slow) - slow)
+    vpr = b.let(F.when(fast != 0, weighted(fast_period, fast) / fast).otherwise(1.0))
+    vm = b.let(F.when(b.sum(v, slow_period) != 0, b.mean(v, fast_period) / b.mean(v, slow_period)).otherwise(1.0))
     vpci_ = b.let(vpc * vpr * vm)
-    length = b.let(F.greatest(F.lit(1), F.least(F.lit(4 * slow_period), F.round(F.abs(vpci_ - 3)).cast("int"))))
+    reach = F.round(F.when(vpc < 0, F.abs(vpci_ - 3)).otherwise(vpci_ + 3))
+    length = b.let(F.greatest(F.lit(1.0), F.least(F.lit(200.0), reach)).cast("int"))
     unit = F.when((vpc > -1) & (vpc < 0), F.lit(-1.0)).when((vpc >= 0) & (vpc < 1), F.lit(1.0)).otherwise(vpc)
-    part = b.let(l / F.when(unit * vpr == 0, F.lit(None)).otherwise(unit * vpr))
-    listed = F.reverse(F.collect_list(part).over(b.rows(4 * slow_period)))
+    part = b.let(F.when(slow.isNull(), l).when(unit * vpr != 0, l / (unit * vpr)).otherwise(0.0))
+    listed = F.reverse(F.collect_list(part).over(b.rows(200)))
     price = F.aggregate(F.slice(listed, 1, length), F.lit(0.0), lambda s, x: s + x) / length / 100
     return b.mean(b.let(l - price + multiplier * vpci_ * vm), slow_period)
 

@@ -132,14 +132,14 @@ def apply_all(df: DataFrame, jobs: Sequence[tuple[str, dict[str, Any], dict[str,
     return bars.df.select(*(F.col(f"`{c}`") for c in df.columns), *(c.alias(n) for n, c in made.items()))
 
 
-def apply(df: DataFrame, name: str, *, series: str | Sequence[str] = "series", ts: str = "ts", tie: Sequence[str] = (), names: dict[str, str] | None = None, columns: dict[str, str] | None = None, warmup: str = "null", lenient: bool = False, strict: bool = False, **params: Any) -> DataFrame:
+def apply(df: DataFrame, name: str, *, series: str | Sequence[str] = "series", ts: str = "ts", tie: Sequence[str] = (), names: dict[str, str] | None = None, columns: dict[str, str] | None = None, warmup: str = "null", lenient: bool = False, checked: bool = False, **params: Any) -> DataFrame:
     """df with an operator's outputs as further columns.
 
     columns: input letter -> column or derived source, where it is not the usual one; names:
     output -> column name. Without enough bars the outputs are null (warmup="nan": nan).
-    strict: a series without any value of an input is an error, found by counting first."""
+    checked: a series without any value of an input is an error, found by counting first."""
     op = operator(name)
-    if strict:
+    if checked:
         keys = [series] if isinstance(series, str) else list(series)
         ins = [source(df, (columns or {}).get(i, op.source(i)), lenient).cast("double") for i in op.inputs if i != "ts"]
         bad = df.groupBy(*keys).agg(*(F.count(F.when(~F.isnan(x), x)).alias(f"n{k}") for k, x in enumerate(ins))).where(" OR ".join(f"n{k} = 0" for k in range(len(ins)))).limit(1).collect()

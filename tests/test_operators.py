@@ -121,7 +121,7 @@ def test_parameters_are_checked_at_once(spark):
     with pytest.raises(ValueError):
         runner.apply(b, "nothing")
     with pytest.raises(ValueError):
-        runner.apply(bars(spark, [None, None]), "sma", strict=True)
+        runner.apply(bars(spark, [None, None]), "sma", checked=True)
 
 
 def test_grids():
