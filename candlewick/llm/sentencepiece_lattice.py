@@ -3,12 +3,16 @@
 Texts are cut into chunks that no piece crosses (at spaces, line ends and before signs that
 no piece joins to a letter). For every distinct chunk: its bounded-length substrings are
 exploded, equi-joined to the piece table (as large as the model's vocabulary), matches are
-grouped by chunk, and a higher-order aggregate folds them: Viterbi for unigram models, the
-merges in order of score for BPE models, whose ids Viterbi would not give. Distinct chunks
-stay where the distinct put them, so the grouping moves no row.
+grouped by chunk, and a higher-order aggregate folds them: Viterbi for unigram models; for
+BPE models, whose ids Viterbi would not give, the merges in order of rank over a bit mask of
+the cuts (`monotone` checks that one pass in that order does what the model means).
+A chunk stays where the first grouping put it, so grouping its edges moves no row, and the
+splits that hold it go along with it: no join brings them back.
 
 Each reader of a split of the texts then takes the ids of that split's own chunks from a
 dictionary in the shared folder and writes them in the order of the text; no text is moved.
+A chunk that the dictionary lacks (files that were split elsewhere) or that is longer than
+`LONG` is encoded in Python, with the same ids.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; decode(encode(t))
 is t for every text without U+2581, which stands for a space in this scheme (the dummy space
@@ -22,7 +26,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -35,8 +39,12 @@ from pyspark.sql import functions as F
 from .common import drop, give_back, new_path, release, written
 
 SPACE = "▁"
-#: Chunks longer than this are folded by a heap, in n log n steps; the aggregate takes n * n.
-LONG = 96
+#: Chunks longer than this are folded in Python: a mask of cuts has 63 bits.
+LONG = 60
+#: Files whose places are in one row of a chunk, at the most about so many.
+FILES = 256
+#: Words that a reader gathers before it hands their chunks on.
+GATHERED = 400_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +58,7 @@ class Pieces:
     unknown: int
     bpe: bool
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(len(t) for t, u in zip(self.texts, self.usable) if u)
 
@@ -102,53 +110,105 @@ def _marked(text: Column) -> Column:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame([(pieces.texts[i], r) for i, r in pieces.rank().items()], "piece string, rank int")
+    return spark.createDataFrame([(pieces.texts[i], r, i) for i, r in pieces.rank().items()], "piece string, rank int, id int")
 
 
-#: An edge is one long: place (64 * start + length) above, rank of its piece below.
-RANK_BITS = 24
+#: An edge's key: rank, start and id from the top down, 24, 6 and 24 bits.
+ID_BITS, START_BITS = 24, 6
+NO_PIECE = (1 << ID_BITS) - 1
 
 
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, edge) for every substring of a chunk that is a piece; a chunk without any has
-    one row with a null edge."""
+    """(chunk, ..., edge) for every substring of a chunk that is a piece, and for every
+    character that is none; edge has a key, and bit masks of its ends and of what is between.
+    Other columns of chunks are on the row of the first character alone, else null."""
+    others = [c for c in chunks.columns if c not in ("chunk", "part")]
+    keys = [c for c in chunks.columns if c in ("chunk", "part")]
     spans = F.expr(f"explode(flatten(transform(sequence(0, length(chunk) - 1), i -> transform(sequence(1, least({pieces.longest}, length(chunk) - i)), k -> 64 * i + k))))")
-    subs = chunks.select("chunk").where(F.length("chunk") <= LONG).select("chunk", spans.alias("s"))
-    subs = subs.withColumn("piece", F.expr("substring(chunk, cast(s div 64 AS int) + 1, cast(s % 64 AS int))"))
+    subs = chunks.where(F.length("chunk") <= LONG).select("*", spans.alias("s")).withColumn("piece", F.expr("substring(chunk, cast(s div 64 AS int) + 1, s % 64)"))
     table = F.broadcast(piece_table(chunks.sparkSession, pieces))  # the model's vocabulary, whatever the corpus
-    edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR s = 1")
-    return edges.select("chunk", F.expr(f"shiftleft(cast(s AS bigint), {RANK_BITS}) | rank").alias("edge"))
+    edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR s % 64 = 1")
+    start, length = F.expr("s div 64"), F.expr("s % 64")
+    key = F.shiftleft(F.coalesce("rank", F.lit(NO_PIECE)).cast("long"), ID_BITS + START_BITS) + F.shiftleft(start, ID_BITS) + F.coalesce("id", F.lit(NO_PIECE))
+    one = F.lit(1).cast("long")
+    masks = (F.call_function("shiftleft", F.call_function("shiftleft", one, length) + F.lit(d).cast("long"), start.cast("int")) for d in (1, -2))
+    edge = F.struct(key.alias("key"), *(m.alias(n) for m, n in zip(masks, ("ends", "between"))))
+    return edges.select(*keys, *(F.when(F.col("s") == 1, F.col(c)).alias(c) for c in others), edge.alias("edge"))
 
 
-#: Cut points 0..n of a chunk; each step takes out the one whose merge has the least rank.
-_MERGED = """aggregate(sequence(1, greatest(1, n - 1)), struct(sequence(0, n) AS b, n < 2 AS done), (s, x) -> if(s.done, s,
-  transform(array(array_min(filter(transform(sequence(0, size(s.b) - 3), k -> struct(element_at(e, 64 * s.b[k] + s.b[k + 2] - s.b[k]) AS r, k AS k)), c -> c.r IS NOT NULL))),
-            m -> if(m IS NULL, struct(s.b AS b, true AS done), struct(filter(s.b, (v, i) -> i <> m.k + 1) AS b, size(s.b) <= 3 AS done)))[0])).b"""
+#: Cuts as bits 0..n: an edge with one cut between its ends is a merge; edges in order of rank, then start.
+_MERGED = """aggregate(edges, shiftleft(1L, n + 1) - 1L, (b, e) -> if((b & e.ends) = e.ends AND bit_count(b & e.between) = 1, b & ~e.between, b))"""
 
-#: Best (score, start of the last piece) for every end 1..n, then the cuts from the end back.
-_VITERBI = """aggregate(sequence(1, n), array(struct(0D AS s, 0 AS i)), (best, j) -> concat(best, array(array_max(transform(sequence(greatest(0, j - {longest}), j - 1),
-  i -> struct(best[i].s + coalesce(scores[element_at(e, 64 * i + j - i)], if(j - i = 1, {unknown}D, -1e30D)) AS s, i AS i))))),
-  best -> array_sort(aggregate(sequence(1, n), array(n), (b, x) -> if(element_at(b, -1) = 0, b, concat(b, array(best[element_at(b, -1)].i))))))"""
+#: Best (score, start of the last piece) for every end 1..n, then the cuts from the end back as bits.
+_VITERBI = """aggregate(sequence(1, n), array(struct(0D AS s, 0 AS i)), (best, j) -> concat(best, array(array_max(transform(
+  filter(edges, e -> shiftright(e.ends, j) = 1L),
+  e -> struct(best[{start}].s + coalesce(get(scores, cast(shiftright(e.key, 30) AS int)), {unknown}D) AS s, {start} AS i))))),
+  best -> aggregate(sequence(1, n), struct(shiftleft(1L, n) AS b, n AS at), (x, k) -> if(x.at = 0, x, struct(x.b | shiftleft(1L, best[x.at].i) AS b, best[x.at].i AS at))).b)"""
+_START = f"cast(shiftright(e.key, {ID_BITS}) & {(1 << START_BITS) - 1} AS int)"
 
 
 def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, ids) of chunks of up to LONG characters."""
-    by_chunk = edges.groupBy("chunk").agg(F.collect_list("edge").alias("l")).withColumn("n", F.length("chunk"))
-    entry = lambda x: F.struct(F.shiftright(x, RANK_BITS).cast("int").alias("key"), x.bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int").alias("value"))
-    by_chunk = by_chunk.select("chunk", "n", F.map_from_entries(F.transform("l", entry)).alias("e"))
-    order = list(pieces.rank())
-    by_chunk = by_chunk.withColumn("of_rank", F.lit(order).cast("array<int>"))
+    """(chunk, ..., ids) of chunks of up to LONG characters."""
+    keys = [c for c in edges.columns if c in ("chunk", "part")]
+    others = [c for c in edges.columns if c not in (*keys, "edge")]
+    by_chunk = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in others)).withColumn("n", F.length("chunk"))
+    fold = _MERGED
     if not pieces.bpe:
-        by_chunk = by_chunk.withColumn("scores", F.lit([float(pieces.scores[i]) for i in order]))
-    fold = _MERGED if pieces.bpe else _VITERBI.format(longest=pieces.longest, unknown=min(pieces.scores) - 10)
-    cuts = by_chunk.withColumn("b", F.expr(fold))
+        by_chunk = by_chunk.withColumn("scores", F.lit([float(pieces.scores[i]) for i in pieces.rank()]))
+        fold = _VITERBI.format(start=_START, unknown=min(pieces.scores) - 10)
+    # of an edge that is left: start above, id below
+    left = f"array_sort(transform(filter(edges, e -> (b & (e.ends | e.between)) = e.ends), e -> e.key & {(1 << (ID_BITS + START_BITS)) - 1}L))"
+    cuts = by_chunk.withColumn("b", F.expr(fold)).withColumn("at", F.expr(left))
     first = pieces.byte_ids[0] if pieces.byte_ids else -1
     if pieces.byte_ids and pieces.byte_ids != tuple(range(first, first + 256)):
         raise ValueError("byte pieces must have ids in turn")
     byte = f"transform(sequence(0, octet_length(c) - 1), o -> {first} + cast(conv(substring(hex(encode(c, 'UTF-8')), 2 * o + 1, 2), 16, 10) AS int))" if pieces.byte_ids else f"array({pieces.unknown})"
-    # a piece without an edge is one character that no piece holds
-    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, k) -> if(element_at(e, 64 * x + b[k + 1] - x) IS NOT NULL, array(of_rank[element_at(e, 64 * x + b[k + 1] - x)]), flatten(transform(array(substring(chunk, x + 1, b[k + 1] - x)), c -> {byte})))))"
-    return cuts.select("chunk", F.expr(ids).alias("ids"))
+    plain = f"transform(at, x -> cast(x & {NO_PIECE}L AS int))"
+    # characters that no piece holds
+    spelled = f"flatten(transform(at, x -> if((x & {NO_PIECE}L) = {NO_PIECE}L, flatten(transform(array(substring(chunk, cast(shiftright(x, {ID_BITS}) AS int) + 1, 1)), c -> {byte})), array(cast(x & {NO_PIECE}L AS int)))))"
+    ids = f"if(element_at(edges, -1).key >= {NO_PIECE << (ID_BITS + START_BITS)}L, {spelled}, {plain})"
+    return cuts.select(*keys, *others, F.expr(ids).alias("ids"))
+
+
+def one_pass(chunk: str, rank: dict[str, int]) -> list[int]:
+    """The cuts that `_MERGED` leaves."""
+    cuts = set(range(len(chunk) + 1))
+    spans = sorted((rank[chunk[a:z]], a, z) for a in range(len(chunk)) for z in range(a + 2, len(chunk) + 1) if chunk[a:z] in rank)
+    for _, a, z in spans:
+        inner = [c for c in range(a + 1, z) if c in cuts]
+        if a in cuts and z in cuts and len(inner) == 1:
+            cuts -= set(inner)
+    return sorted(cuts)
+
+
+@lru_cache(4)
+def monotone(model: str) -> bool:
+    """Whether merges in one pass by rank are those of the model. A merge that another of a
+    higher rank makes possible would be missed; its span, alone, shows that too, as nothing
+    had crossed its ends. So it is enough to try every piece by itself."""
+    pieces = load(model)
+    rank = {pieces.texts[i]: r for i, r in pieces.rank().items()}
+    ids = {pieces.texts[i]: i for i in pieces.rank()}
+    of_id = pieces.rank()
+    for t in ids:
+        if 2 < len(t) <= LONG and (len(one_pass(t, rank)) == 2) != (len(merged_by_heap(t, pieces, ids, of_id)) == 1):
+            return False
+    return True
+
+
+def viterbi(chunk: str, pieces: Pieces, ids: dict[str, int], rank: dict[int, int] | None = None) -> list[int]:
+    """The best path through one chunk, in steps linear in its length."""
+    worst, best = min(pieces.scores) - 10, [(0.0, 0)]
+    for j in range(1, len(chunk) + 1):
+        ways = [(best[i][0] + (pieces.scores[k] if (k := ids.get(chunk[i:j])) is not None else worst), i) for i in range(max(0, j - pieces.longest), j) if i == j - 1 or chunk[i:j] in ids]
+        best.append(max(ways))
+    out, j = [], len(chunk)
+    while j:
+        i = best[j][1]
+        part = chunk[i:j]
+        out.append([ids[part]] if part in ids else [pieces.byte_ids[b] for b in part.encode()] if pieces.byte_ids else [pieces.unknown])
+        j = i
+    return [k for part in reversed(out) for k in part]
 
 
 def merged_by_heap(chunk: str, pieces: Pieces, ids: dict[str, int], rank: dict[int, int]) -> list[int]:
@@ -187,55 +247,86 @@ def merged_by_heap(chunk: str, pieces: Pieces, ids: dict[str, int], rank: dict[i
     return out
 
 
-def chunk_ids(chunks: DataFrame, model_path: str) -> DataFrame:
-    """(chunk, ids) for rows of distinct chunks."""
+def alone(model_path: str):
+    """chunk -> ids in Python, as the model's kind means it."""
     pieces = load(model_path)
-    short = folded(lattice(chunks, pieces), pieces)
-    if not pieces.bpe:
-        return short
-    long = chunks.where(F.length("chunk") > LONG).select("chunk")
+    rank = pieces.rank()
+    ids = {pieces.texts[i]: i for i in rank}
+    fold = merged_by_heap if pieces.bpe else viterbi
+    return lambda chunk: fold(chunk, pieces, ids, rank)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = load(model_path)
-        rank = p.rank()
-        ids = {p.texts[i]: i for i in rank}
-        for batch in batches:
-            made = [merged_by_heap(c.as_py(), p, ids, rank) for c in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], ["chunk", "ids"])
 
-    return short.unionByName(long.mapInArrow(run, "chunk string, ids array<int>"))
+def chunk_ids(chunks: DataFrame, model_path: str) -> DataFrame:
+    """(chunk, ..., ids) for rows of distinct chunks of up to LONG characters."""
+    pieces = load(model_path)
+    return folded(lattice(chunks, pieces), pieces)
 
 
 def _split_key() -> list[Column]:
     return [F.xxhash64(F.input_file_name()).alias("_file"), F.input_file_block_start().alias("_start")]
 
 
+def _cut(text: str, words: re.Pattern) -> list[str]:
+    """The words of a text, each with the spaces before it."""
+    if SPACE not in text and "  " not in text and text[0] != " ":  # then words are what lies between spaces
+        return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
+    return words.findall(SPACE + text.replace(" ", SPACE))
+
+
+WORD = rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
+
+
 def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
     """Writes, for every split of the files under docs, the ids of the chunks that it holds;
     returns the folder."""
-    spark, pieces = docs.sparkSession, load(model_path)
-    found = docs.select(*_split_key(), F.explode(F.regexp_extract_all(_marked(F.col(text_col).cast("string")), F.lit(chunk_pattern(pieces)), F.lit(0))).alias("chunk"))
-    pairs = found.where("chunk <> ''").distinct()
-    where, where_path = written(pairs.groupBy("chunk").agg(F.collect_list(F.struct("_file", "_start")).alias("places")), "chunks")
+    spark, pattern = docs.sparkSession, chunk_pattern(load(model_path))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, split, place, got = re.compile(WORD), re.compile(pattern), None, set()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            chunks = {c for w in got for c in split.findall(w)}
+            got.clear()
+            rows = sorted(c for c in chunks if 0 < len(c) <= LONG)
+            for a in range(0, len(rows), 65536):
+                part = rows[a : a + 65536]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(part), pa.int64()) for x in place), pa.array(part, pa.string())], ["_file", "_start", "chunk"])
+
+        for batch in batches:
+            for text, file, start in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if place != (file, start) or len(got) > GATHERED:
+                    if got:
+                        yield from flushed()
+                    place = (file, start)
+                if t := text.as_py():
+                    got.update(_cut(t, words))
+        if got:
+            yield from flushed()
+        give_back()
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *_split_key()).mapInArrow(found, "_file long, _start long, chunk string")
+    # a row of a chunk has the places of some files only, however many files there are
+    parts = max(1, len(docs.inputFiles()) // FILES)
+    rows = rows.withColumn("part", F.pmod("_file", F.lit(parts)).cast("int"))
+    chunks = rows.groupBy("chunk", "part").agg(F.collect_set(F.struct("_file", "_start")).alias("places"))
     path = new_path(spark, "chunk-ids")
-    rows = where.join(chunk_ids(where, model_path), "chunk").select("chunk", "ids", F.explode("places").alias("place")).select("chunk", "ids", "place._file", "place._start")
-    rows.repartition("_file", "_start").write.partitionBy("_file", "_start").parquet(path)
+    out = chunk_ids(chunks, model_path).select("chunk", "ids", F.explode("places").alias("place")).select("chunk", "ids", "place._file", "place._start")
+    out.repartition("_file", "_start").write.partitionBy("_file", "_start").parquet(path)
     release(spark)
-    drop(spark, where_path)
     return path
 
 
 class ChunkIds(dict):
     """Word (text between spaces, with its spaces) -> ids as bytes, from one split's chunks."""
 
-    def __init__(self, folder: str, file: int, start: int, pattern: re.Pattern):
+    def __init__(self, folder: str, file: int, start: int, pattern: re.Pattern, alone):
         uri = urlparse(folder)
         fs, root = (pafs.LocalFileSystem(), uri.path) if uri.scheme in ("", "file") else pafs.FileSystem.from_uri(folder)
         own = f"{root}/_file={file}"
         if fs.get_file_info(f"{own}/_start={start}").type != pafs.FileType.NotFound:
             own = f"{own}/_start={start}"  # else the file was split in other places: all its chunks
         self.chunks: dict[str, bytes] = {}
-        self.pattern = pattern
+        self.pattern, self.alone = pattern, alone
         if fs.get_file_info(own).type == pafs.FileType.NotFound:
             return
         for info in fs.get_file_info(pafs.FileSelector(own, recursive=True)):
@@ -248,23 +339,32 @@ class ChunkIds(dict):
                             self.chunks[c] = flat[a:b].tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(self.chunks[c] for c in self.pattern.findall(word) if c)
+        out = b"".join(self.chunks.get(c) or np.array(self.alone(c), "<u4").tobytes() for c in self.pattern.findall(word) if c)
         if len(self) < 100_000:
             self[word] = out
         return out
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a table of files with at most filters and projections over it."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return node.children().isEmpty() and bool(docs.inputFiles())
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) for every row; decoded: also the text that the ids decode to,
     in the same pass, which spares a second Python worker for each task. docs is a table of files, read with at most
     filters and projections; anything else is written to the shared folder first."""
-    if not docs.inputFiles() or re.search(r"Exchange|Join|Aggregate|Python|Arrow|Pandas|Window", docs._jdf.queryExecution().executedPlan().toString()):
+    if not _is_scan(docs):
         docs, _ = written(docs.select(id_col, text_col), "texts")
-    folder, pattern = dictionary(docs, model_path, text_col), chunk_pattern(load(model_path))
-    word, names = rf"{SPACE}*[^{SPACE}]+|{SPACE}+", ["doc_id", "ids", "text"][: 2 + decoded]
+    pieces, pattern, names = load(model_path), chunk_pattern(load(model_path)), ["doc_id", "ids", "text"][: 2 + decoded]
+    # without a dictionary every chunk is encoded by itself
+    folder = dictionary(docs, model_path, text_col) if not pieces.bpe or monotone(model_path) else new_path(docs.sparkSession, "chunk-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split, place = re.compile(word), re.compile(pattern), None
+        words, split, place, single = re.compile(WORD), re.compile(pattern), None, alone(model_path)
         back = decoder(load(model_path)) if decoded else None
         for batch in batches:
             parts = []
@@ -275,9 +375,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     continue
                 if place != (file, start):
                     known = None  # the last split's ids go before the next one's come
-                    place, known = (file, start), ChunkIds(folder, file, start, split)
-                plain = SPACE not in t and "  " not in t and t[0] != " "  # then words are what lies between spaces
-                cut = (SPACE + t.replace(" ", f" {SPACE}")).split(" ") if plain else words.findall(SPACE + t.replace(" ", SPACE))
+                    place, known = (file, start), ChunkIds(folder, file, start, split, single)
+                cut = _cut(t, words)
                 parts.append(b"".join(map(known.__getitem__, cut)))
             offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))).astype(np.int32)
             ids = np.frombuffer(b"".join(parts), "<u4").view(np.int32)
