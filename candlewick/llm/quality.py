@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled thresholds (operator 5).
 
 Every document gets counts over its whole text, and from them a few rule scores (higher is
-worse). For each stratum and rule, cutoffs are tried from the most lenient one on: a cutoff
-is certified while the exact binomial test rejects "more than epsilon of the good documents
-are turned away". The tests of one rule and stratum form a fixed sequence, so the error is
-shared out (Bonferroni) over rules and strata only. With all rules together, at most
-`false_rejection` of the good documents of a stratum are turned away, at confidence
-1 - `delta` for all strata at once. Where the labels of a stratum are too few to certify any
-cutoff of a rule, the rule turns nothing away there.
+worse). The cutoffs of all rules go through one fixed sequence: the rules in their order, each
+from its most lenient cutoff down to 0, what is reached staying in force. In each stratum a
+step is certified while the exact binomial test rejects "more than `false_rejection` of the
+good documents are turned away by the rules together"; the sequence ends at the first step
+that is not. A fixed sequence needs no correction within a stratum; the error `delta` is
+shared out over the strata (Bonferroni). As all certified steps hold at once, any may be
+taken: the first with the largest difference between the shares of bad and of good labelled
+documents turned away. A stratum needs log(delta / strata) / log(1 - false_rejection) good
+labels (217 of four strata by default) to certify anything; with fewer, or without bad
+labels, it turns nothing away.
 
 Defined results: null and empty texts have no words and fail the base rules; a null stratum
 is a stratum of its own; null labels are ignored and a document labelled more than once is
@@ -39,6 +42,7 @@ WINDOW = 5
 #: Rule -> largest score told apart; scores are cut into BINS equal steps below it.
 RULES = {"symbols": 0.5, "dup_lines": 1.0, "repeats": 0.2, "long_words": 32.0}
 BINS = 200
+STEPS = BINS * len(RULES)
 FALSE_REJECTION = 0.02
 DELTA = 0.05
 #: Up to so many strata the cutoffs are sent to every executor; beyond, they are joined.
@@ -107,9 +111,12 @@ def _scores(c: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def _bins(c: dict[str, Column]) -> dict[str, Column]:
-    """Score as a whole number of steps, BINS at most; a cutoff b turns away bins above b."""
-    return {k: F.least(F.ceil(v / RULES[k] * BINS), F.lit(BINS)).cast("int") for k, v in _scores(c).items()}
+def _turn(c: dict[str, Column]) -> Column:
+    """The number of the first step of the sequence that turns a document away: the rules in
+    their order, each from its highest cutoff down to 0, what is reached staying in force.
+    `STEPS` if none does."""
+    bins = {k: F.least(F.ceil(v / RULES[k] * BINS), F.lit(BINS)).cast("int") for k, v in _scores(c).items()}
+    return F.least(F.lit(STEPS), *(F.when(x > 0, (r + 1) * BINS - x) for r, x in enumerate(bins[k] for k in RULES)))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -121,39 +128,41 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def certified(rejected: np.ndarray, n: int, epsilon: float, level: float) -> int:
-    """The lowest cutoff b of the fixed sequence BINS - 1, BINS - 2, ... that is certified;
-    BINS if none is. rejected[b]: good documents in bins above b, of n."""
-    best = BINS
-    for b in range(BINS - 1, -1, -1):
-        k = int(rejected[b])
-        if k > epsilon * n or binomial_tail(k, n, epsilon) > level:
-            break
-        best = b
-    return best
+    """How many steps of the fixed sequence are certified before the first that is not.
+    rejected[i]: how many of n good documents step i and those before it turn away."""
+    for i, k in enumerate(rejected):
+        if k > epsilon * n or binomial_tail(int(k), n, epsilon) > level:
+            return i
+    return len(rejected)
+
+
+def chosen(good: np.ndarray, bad: np.ndarray, epsilon: float, level: float) -> int:
+    """The number of steps to take, of good and bad documents by the step that first turns
+    them away (the last number: none does)."""
+    n, out = int(good.sum()), np.concatenate(([0], np.cumsum(good)))[:-1]
+    most = certified(out[1:], n, epsilon, level)
+    gain = np.concatenate(([0], np.cumsum(bad)))[:-1] / max(1, int(bad.sum())) - out / max(1, n)
+    return int(np.argmax(gain[: most + 1]))
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, delta: float = DELTA) -> tuple[DataFrame, str, int]:
-    """(stratum, one cutoff for each rule) over every stratum with good labelled documents.
+    """(stratum, steps taken) over every stratum with labelled documents.
     features: doc_id, stratum and COUNTS."""
-    good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     c = {k: F.col(k) for k in COUNTS}
-    bins = F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("bin")) for k, v in _bins(c).items()))
-    held = features.where(~base_failed(c["n_words"], c["n_repeat_words"])).join(good, "doc_id", "left_semi")
-    counted = held.select("stratum", F.explode(bins).alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("n"))
-    counted, path = written(counted, "rule-bins")
+    held = features.where(~base_failed(c["n_words"], c["n_repeat_words"])).join(known, "doc_id")
+    counted = held.groupBy("stratum", _turn(c).alias("turn")).agg(F.count(F.when(F.col("q") == 1, 1)).alias("good"), F.count(F.when(F.col("q") != 1, 1)).alias("bad"))
+    counted, path = written(counted, "turns")
     strata = counted.select("stratum").distinct().count()
-    epsilon, level = false_rejection / len(RULES), delta / (len(RULES) * max(strata, 1))
+    level = delta / max(strata, 1)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        row: dict = {"stratum": [pdf["stratum"].iloc[0]]}
-        for rule in RULES:
-            own = pdf[pdf["rule"] == rule]
-            at = np.zeros(BINS + 1, np.int64)
-            np.add.at(at, np.maximum(own["bin"].to_numpy(), 0), own["n"].to_numpy())
-            row[f"cut_{rule}"] = [certified(at.sum() - np.cumsum(at), int(at.sum()), epsilon, level)]
-        return pd.DataFrame(row)
-
-    out, out_path = written(counted.groupBy("stratum").applyInPandas(fit, "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES)), "cutoffs")
+        good, bad = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
+        for at, k in ((good, "good"), (bad, "bad")):
+            np.add.at(at, pdf["turn"].to_numpy(), pdf[k].to_numpy())
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "steps": [chosen(good, bad, false_rejection, level)]})
+
+    out, out_path = written(counted.groupBy("stratum").applyInPandas(fit, "stratum string, steps int"), "cutoffs")
     drop(labels.sparkSession, path)
     return out, out_path, strata
 
@@ -167,10 +176,7 @@ def _verdict(df: DataFrame, c: dict[str, Column], stratum: Column, cuts: DataFra
     cuts = F.broadcast(cuts) if strata <= SMALL else cuts
     out = df.join(cuts, stratum == cuts["stratum"], "left")
     failed = base_failed(c["n_words"], c["n_repeat_words"])
-    over = [F.coalesce(b > cuts[f"cut_{k}"], F.lit(False)) for k, b in _bins(c).items()]
-    kept = ~failed
-    for x in over:
-        kept = kept & ~x
+    kept = ~failed & (_turn(c) >= F.coalesce(cuts["steps"], F.lit(0)))
     return out, failed, kept
 
 

@@ -3,6 +3,7 @@ texts, ties, repeated rows and clashing columns."""
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from candlewick.llm import classifier, line_dedup, mixing, orc_tokens, pii, quality, queries, sentencepiece_lattice, simhash
 from candlewick.llm.common import new_path, written
 
@@ -90,16 +93,44 @@ def test_cutoffs_are_certified(spark):
     labels = spark.createDataFrame([(i, 1 if i % 10 else 0) for i in range(6000)] + [(1, None), (7, 0)], "doc_id long, quality int")
     cuts, _, strata = quality.cutoffs(feats, labels, 0.04, 0.05)
     assert strata == 2
-    got = {r.stratum: r.cut_symbols for r in cuts.collect()}
+    got = {r.stratum: r.steps for r in cuts.collect()}
     for s in ("en", "de"):
-        bins = [min(200, math.ceil(r[4] / max(r[3], 1) / 0.5 * 200)) for r in rows if r[1] == s and r[0] % 10 and r[0] != 7]
-        best = 200
-        for b in range(199, -1, -1):
-            k = sum(x > b for x in bins)
-            if k > 0.01 * len(bins) or float(exact_tail(k, len(bins), 0.01)) > 0.05 / 8:
-                break
-            best = b
-        assert got[s] == best < 200
+        # the rules in their order, each from its highest cutoff down; long_words is 5 of 32 for every row
+        bins = [(min(200, math.ceil(r[4] / r[3] / 0.5 * 200)), 0, 0, math.ceil(5 / 32 * 200)) for r in rows if r[1] == s and r[0] % 10 and r[0] != 7]
+        steps, open_ = 0, [200] * 4
+        for rule in range(4):
+            for b in range(199, -1, -1):
+                open_[rule] = b
+                k = sum(any(x > y for x, y in zip(v, open_)) for v in bins)
+                if k > 0.04 * len(bins) or quality.binomial_tail(k, len(bins), 0.04) > 0.05 / 2:
+                    break
+                steps += 1
+            else:
+                continue
+            break
+        good, bad = [0] * 801, [0] * 801
+        for r in rows:
+            if r[1] == s:
+                v = (min(200, math.ceil(r[4] / r[3] / 0.5 * 200)), 0, 0, math.ceil(5 / 32 * 200))
+                (good if r[0] % 10 and r[0] != 7 else bad)[min((k + 1) * 200 - x for k, x in enumerate(v) if x)] += 1
+        gains = [sum(bad[:k]) / sum(bad) - sum(good[:k]) / sum(good) for k in range(steps + 1)]
+        assert 0 < steps < 800 and got[s] == max(range(steps + 1), key=lambda k: (round(gains[k], 12), -k))
+
+
+def test_a_stratum_of_few_labels_is_certified(spark):
+    """220 good labels without a false rejection are enough for one of four strata; 200 are not."""
+    need = math.ceil(math.log(quality.DELTA / 4) / math.log(1 - quality.FALSE_REJECTION))
+    assert 200 < need <= 220
+    assert quality.certified(np.zeros(quality.STEPS, int), need, quality.FALSE_REJECTION, quality.DELTA / 4) == quality.STEPS
+    assert quality.certified(np.zeros(quality.STEPS, int), need - 1, quality.FALSE_REJECTION, quality.DELTA / 4) == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="no larger table")
+def test_every_language_turns_bad_documents_away(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, labels).join(labels, "doc_id").where("quality is not null and not base_failed")
+    for r in rows.groupBy("stratum").agg(F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("bad"), F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("good")).collect():
+        assert r.bad < 0.2 and r.good > 0.98, r
 
 
 def test_quality_judges_every_row(spark):
