@@ -115,7 +115,7 @@ def cuts(slim: DataFrame, mix: Mix) -> DataFrame:
     run = Window.partitionBy(*LEVELS).orderBy("piece")
     pieces = pieces.withColumn("upto", F.sum("words").over(run)).withColumn("before", F.col("upto") - F.col("words"))
     last = pieces.where("before <= left and upto > left").select(*LEVELS, F.col("piece").alias("cut_piece"), "before")
-    inside = _with_plan(keyed.drop("left").join(plan.drop("epochs"), list(LEVELS)), last, "inner").where("piece = cut_piece")
+    inside = _with_plan(keyed, last, "inner").where("piece = cut_piece")
     upto = F.col("before") + F.sum("words").over(Window.partitionBy(*LEVELS).orderBy("key"))  # rows of one key count together
     ends = inside.withColumn("upto", upto).where("upto <= left").groupBy(*LEVELS).agg(F.max("key").alias("cut_key"))
     out = plan.join(last.drop("before"), list(LEVELS), "left").join(ends, list(LEVELS), "left")
