@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -225,10 +226,10 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
             name = before.start()
         out += edits
         floor = at
-    taken = [(a, b) for a, b, _ in out]
+    starts, stops = (sorted(x[k] for x in out) for k in (0, 1))  # edits do not overlap
     for m in dots.values():
         a, b = m.span()
-        if a and b < len(text) and text[a - 1].isdigit() and text[b].isdigit() and not any(a < y and x < b for x, y in taken):
+        if a and b < len(text) and text[a - 1].isdigit() and text[b].isdigit() and bisect_left(starts, b) == bisect_right(stops, a):
             out.append((a, b, "."))
     return sorted(out)
 
@@ -246,7 +247,9 @@ def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
             if not any(tape.made[a:b]) or kind == "email" and not re.search(r"\.[A-Za-z]{2,}$", tape.text[a:b]):
                 continue
             x, y = tape.source((a, b))
-            if not any(c <= x and y <= d for c, d in base[kind]):
+            # base spans do not overlap: only the last that starts by x can hold the span
+            i = bisect_right(base[kind], x, key=lambda s: s[0])
+            if not i or base[kind][i - 1][1] < y:
                 out.setdefault(kind, []).append((x, y))
     return out
 
