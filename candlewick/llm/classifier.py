@@ -166,7 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, machine: Machine = Machine(), id_c
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen, path = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(machine.sample), "labelled")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"m{k}") for k, c in enumerate(machine.metadata)))
-    picked = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    # one row a doc_id, that of the least hash of its text: at most `sample` rows, however often an id is repeated
+    names = [c for c in texts.columns if c != "doc_id"]
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *names, "label")).alias("x"))
+    picked = one.select("doc_id", *(f"x.{c}" for c in names), "x.label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(machine)
