@@ -44,7 +44,11 @@ LONG = 60
 #: Files whose places are in one row of a chunk, at the most about so many.
 FILES = 256
 #: Words that a reader gathers before it hands their chunks on.
-GATHERED = 400_000
+GATHERED = 150_000
+#: Documents that a reader turns into ids at a time.
+SOME = 1024
+#: Chunks whose edges a task groups in memory before it sorts them instead (some 100 MB).
+GROUPS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -113,51 +117,59 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([(pieces.texts[i], r, i) for i, r in pieces.rank().items()], "piece string, rank int, id int")
 
 
-#: An edge's key: rank, start and id from the top down, 24, 6 and 24 bits.
-ID_BITS, START_BITS = 24, 6
+#: An edge is one long: rank, start, length and id from the top down, 24, 6, 6 and 24 bits.
+ID_BITS, SPAN_BITS = 24, 12
 NO_PIECE = (1 << ID_BITS) - 1
 
 
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     """(chunk, ..., edge) for every substring of a chunk that is a piece, and for every
-    character that is none; edge has a key, and bit masks of its ends and of what is between.
-    Other columns of chunks are on the row of the first character alone, else null."""
+    character that is none. Other columns of chunks are on the row of the first character
+    alone, else null."""
     others = [c for c in chunks.columns if c not in ("chunk", "part")]
     keys = [c for c in chunks.columns if c in ("chunk", "part")]
-    spans = F.expr(f"explode(flatten(transform(sequence(0, length(chunk) - 1), i -> transform(sequence(1, least({pieces.longest}, length(chunk) - i)), k -> 64 * i + k))))")
-    subs = chunks.where(F.length("chunk") <= LONG).select("*", spans.alias("s")).withColumn("piece", F.expr("substring(chunk, cast(s div 64 AS int) + 1, s % 64)"))
+    # what there is to explode depends on the length alone: 64 * start + length of each substring
+    spans = [(n, [64 * i + k for i in range(n) for k in range(1, min(pieces.longest, n - i) + 1)]) for n in range(1, LONG + 1)]
+    by_length = F.broadcast(chunks.sparkSession.createDataFrame(spans, "n int, spans array<int>"))
+    subs = chunks.join(by_length, F.length("chunk") == F.col("n")).select(*keys, *others, F.explode("spans").alias("s"))
+    subs = subs.withColumn("piece", F.expr("substring(chunk, shiftright(s, 6) + 1, s & 63)"))
     table = F.broadcast(piece_table(chunks.sparkSession, pieces))  # the model's vocabulary, whatever the corpus
-    edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR s % 64 = 1")
-    start, length = F.expr("s div 64"), F.expr("s % 64")
-    key = F.shiftleft(F.coalesce("rank", F.lit(NO_PIECE)).cast("long"), ID_BITS + START_BITS) + F.shiftleft(start, ID_BITS) + F.coalesce("id", F.lit(NO_PIECE))
-    one = F.lit(1).cast("long")
-    masks = (F.call_function("shiftleft", F.call_function("shiftleft", one, length) + F.lit(d).cast("long"), start.cast("int")) for d in (1, -2))
-    edge = F.struct(key.alias("key"), *(m.alias(n) for m, n in zip(masks, ("ends", "between"))))
+    edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR (s & 63) = 1")
+    edge = F.expr(f"shiftleft(shiftleft(cast(coalesce(rank, {NO_PIECE}) AS bigint), {SPAN_BITS}) | s, {ID_BITS}) | coalesce(id, {NO_PIECE})")
     return edges.select(*keys, *(F.when(F.col("s") == 1, F.col(c)).alias(c) for c in others), edge.alias("edge"))
 
 
-#: Cuts as bits 0..n: an edge with one cut between its ends is a merge; edges in order of rank, then start.
-_MERGED = """aggregate(edges, shiftleft(1L, n + 1) - 1L, (b, e) -> if((b & e.ends) = e.ends AND bit_count(b & e.between) = 1, b & ~e.between, b))"""
+_SPAN = f"cast(shiftright(e, {ID_BITS}) & 4095 AS int)"  # 64 * start + length
+_START, _END = f"cast(shiftright(e, {ID_BITS + 6}) & 63 AS int)", f"cast((shiftright(e, {ID_BITS + 6}) & 63) + (shiftright(e, {ID_BITS}) & 63) AS int)"
+
+#: Cuts as bits 0..n. An edge with cuts at its ends and one between is a merge; edges in order of rank, then start.
+_MERGED = f"""aggregate(merges, shiftleft(1L, n + 1) - 1L, (b, e) -> if(bit_count(b & between[{_SPAN}]) = 1 AND (b & ends[{_SPAN}]) = ends[{_SPAN}], b & ~between[{_SPAN}], b))"""
 
 #: Best (score, start of the last piece) for every end 1..n, then the cuts from the end back as bits.
-_VITERBI = """aggregate(sequence(1, n), array(struct(0D AS s, 0 AS i)), (best, j) -> concat(best, array(array_max(transform(
-  filter(edges, e -> shiftright(e.ends, j) = 1L),
-  e -> struct(best[{start}].s + coalesce(get(scores, cast(shiftright(e.key, 30) AS int)), {unknown}D) AS s, {start} AS i))))),
+_VITERBI = f"""aggregate(sequence(1, n), array(struct(0D AS s, 0 AS i)), (best, j) -> concat(best, array(array_max(transform(
+  filter(edges, e -> {_END} = j),
+  e -> struct(best[{_START}].s + coalesce(get(scores, cast(shiftright(e, {ID_BITS + SPAN_BITS}) AS int)), UNKNOWN) AS s, {_START} AS i))))),
   best -> aggregate(sequence(1, n), struct(shiftleft(1L, n) AS b, n AS at), (x, k) -> if(x.at = 0, x, struct(x.b | shiftleft(1L, best[x.at].i) AS b, best[x.at].i AS at))).b)"""
-_START = f"cast(shiftright(e.key, {ID_BITS}) & {(1 << START_BITS) - 1} AS int)"
 
 
 def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
     """(chunk, ..., ids) of chunks of up to LONG characters."""
     keys = [c for c in edges.columns if c in ("chunk", "part")]
     others = [c for c in edges.columns if c not in (*keys, "edge")]
-    by_chunk = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in others)).withColumn("n", F.length("chunk"))
+    single = F.col("edge").bitwiseAND(F.lit(63 << ID_BITS)) == F.lit(1 << ID_BITS)  # one character: merges nothing
+    lists = (F.collect_list(F.when(single, F.col("edge"))).alias("singles"), F.sort_array(F.collect_list(F.when(~single, F.col("edge")))).alias("merges"))
+    by_chunk = edges.groupBy(*keys).agg(*lists, *(F.first(c, ignorenulls=True).alias(c) for c in others)).withColumn("n", F.length("chunk")).withColumn("edges", F.concat("singles", "merges"))
+    # bit masks by 64 * start + length
+    spans = [(i >> 6, i & 63) for i in range(64 * LONG)]
+    for name, low in (("ends", 1), ("between", -2)):
+        masks = [((1 << k) + low) << a if 0 < k <= LONG - a else 0 for a, k in spans]
+        by_chunk = by_chunk.withColumn(name, F.expr(f"cast(split('{','.join(map(str, masks))}', ',') AS array<bigint>)"))
     fold = _MERGED
     if not pieces.bpe:
         by_chunk = by_chunk.withColumn("scores", F.lit([float(pieces.scores[i]) for i in pieces.rank()]))
-        fold = _VITERBI.format(start=_START, unknown=min(pieces.scores) - 10)
-    # of an edge that is left: start above, id below
-    left = f"array_sort(transform(filter(edges, e -> (b & (e.ends | e.between)) = e.ends), e -> e.key & {(1 << (ID_BITS + START_BITS)) - 1}L))"
+        fold = _VITERBI.replace("UNKNOWN", f"{min(pieces.scores) - 10}D")
+    # of an edge that is left: span and id
+    left = f"sort_array(transform(filter(edges, e -> (b & ends[{_SPAN}]) = ends[{_SPAN}] AND (b & between[{_SPAN}]) = 0L), e -> e & {(1 << (ID_BITS + SPAN_BITS)) - 1}L))"
     cuts = by_chunk.withColumn("b", F.expr(fold)).withColumn("at", F.expr(left))
     first = pieces.byte_ids[0] if pieces.byte_ids else -1
     if pieces.byte_ids and pieces.byte_ids != tuple(range(first, first + 256)):
@@ -165,8 +177,8 @@ def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
     byte = f"transform(sequence(0, octet_length(c) - 1), o -> {first} + cast(conv(substring(hex(encode(c, 'UTF-8')), 2 * o + 1, 2), 16, 10) AS int))" if pieces.byte_ids else f"array({pieces.unknown})"
     plain = f"transform(at, x -> cast(x & {NO_PIECE}L AS int))"
     # characters that no piece holds
-    spelled = f"flatten(transform(at, x -> if((x & {NO_PIECE}L) = {NO_PIECE}L, flatten(transform(array(substring(chunk, cast(shiftright(x, {ID_BITS}) AS int) + 1, 1)), c -> {byte})), array(cast(x & {NO_PIECE}L AS int)))))"
-    ids = f"if(element_at(edges, -1).key >= {NO_PIECE << (ID_BITS + START_BITS)}L, {spelled}, {plain})"
+    spelled = f"flatten(transform(at, x -> if((x & {NO_PIECE}L) = {NO_PIECE}L, flatten(transform(array(substring(chunk, cast(shiftright(x, {ID_BITS + 6}) AS int) + 1, 1)), c -> {byte})), array(cast(x & {NO_PIECE}L AS int)))))"
+    ids = f"if(array_max(singles) >= {NO_PIECE << (ID_BITS + SPAN_BITS)}L, {spelled}, {plain})"
     return cuts.select(*keys, *others, F.expr(ids).alias("ids"))
 
 
@@ -266,14 +278,19 @@ def _split_key() -> list[Column]:
     return [F.xxhash64(F.input_file_name()).alias("_file"), F.input_file_block_start().alias("_start")]
 
 
-def _cut(text: str, words: re.Pattern) -> list[str]:
-    """The words of a text, each with the spaces before it."""
-    if SPACE not in text and "  " not in text and text[0] != " ":  # then words are what lies between spaces
-        return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
-    return words.findall(SPACE + text.replace(" ", SPACE))
+WORD = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
 
+def _cut(text: str) -> list[str]:
+    """The words of a text, each with the spaces before it; where that is one space each (a
+    plain text), without it."""
+    if SPACE not in text and "  " not in text and text[0] != " ":
+        return text.split(" ")
+    return WORD.findall(SPACE + text.replace(" ", SPACE))
 
-WORD = rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
+
+def _spaced(word: str) -> str:
+    return word if word.startswith(SPACE) else SPACE + word
 
 
 def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
@@ -282,12 +299,12 @@ def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
     spark, pattern = docs.sparkSession, chunk_pattern(load(model_path))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split, place, got = re.compile(WORD), re.compile(pattern), None, set()
+        split, place, got = re.compile(pattern), None, set()
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            chunks = {c for w in got for c in split.findall(w)}
+            chunks = {c for w in got for c in split.findall(_spaced(w))}
             got.clear()
-            rows = sorted(c for c in chunks if 0 < len(c) <= LONG)
+            rows = [c for c in chunks if 0 < len(c) <= LONG]
             for a in range(0, len(rows), 65536):
                 part = rows[a : a + 65536]
                 yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(part), pa.int64()) for x in place), pa.array(part, pa.string())], ["_file", "_start", "chunk"])
@@ -299,7 +316,7 @@ def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
                         yield from flushed()
                     place = (file, start)
                 if t := text.as_py():
-                    got.update(_cut(t, words))
+                    got.update(_cut(t))
         if got:
             yield from flushed()
         give_back()
@@ -308,10 +325,16 @@ def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
     # a row of a chunk has the places of some files only, however many files there are
     parts = max(1, len(docs.inputFiles()) // FILES)
     rows = rows.withColumn("part", F.pmod("_file", F.lit(parts)).cast("int"))
-    chunks = rows.groupBy("chunk", "part").agg(F.collect_set(F.struct("_file", "_start")).alias("places"))
+    chunks = rows.groupBy("chunk", "part").agg(F.collect_list(F.struct("_file", "_start")).alias("places"))
     path = new_path(spark, "chunk-ids")
     out = chunk_ids(chunks, model_path).select("chunk", "ids", F.explode("places").alias("place")).select("chunk", "ids", "place._file", "place._start")
-    out.repartition("_file", "_start").write.partitionBy("_file", "_start").parquet(path)
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, str(GROUPS))
+    try:
+        out.repartition("_file", "_start").write.partitionBy("_file", "_start").parquet(path)
+    finally:
+        spark.conf.set(setting, was)
     release(spark)
     return path
 
@@ -339,7 +362,7 @@ class ChunkIds(dict):
                             self.chunks[c] = flat[a:b].tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(self.chunks.get(c) or np.array(self.alone(c), "<u4").tobytes() for c in self.pattern.findall(word) if c)
+        out = b"".join(self.chunks.get(c) or np.array(self.alone(c), "<u4").tobytes() for c in self.pattern.findall(_spaced(word)) if c)
         if len(self) < 100_000:
             self[word] = out
         return out
@@ -364,9 +387,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     folder = dictionary(docs, model_path, text_col) if not pieces.bpe or monotone(model_path) else new_path(docs.sparkSession, "chunk-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split, place, single = re.compile(WORD), re.compile(pattern), None, alone(model_path)
+        split, place, single = re.compile(pattern), None, alone(model_path)
         back = decoder(load(model_path)) if decoded else None
-        for batch in batches:
+        for batch in (whole.slice(k, SOME) for whole in batches for k in range(0, whole.num_rows, SOME)):
             parts = []
             for text, file, start in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 t = text.as_py()
@@ -376,7 +399,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 if place != (file, start):
                     known = None  # the last split's ids go before the next one's come
                     place, known = (file, start), ChunkIds(folder, file, start, split, single)
-                cut = _cut(t, words)
+                cut = _cut(t)
                 parts.append(b"".join(map(known.__getitem__, cut)))
             offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))).astype(np.int32)
             ids = np.frombuffer(b"".join(parts), "<u4").view(np.int32)
