@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (tests on one machine) a folder of our own."""
+    unset and all run in one process (tests) a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("candlewick.scratch.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="candlewick-")
