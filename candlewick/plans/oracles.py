@@ -207,6 +207,35 @@ def _squeeze(n: int = 20) -> Layers:
     return [PREV, {"tr": TR}, off, {"m": line("off", n)[1], "sd": roll("stddev_pop", "c", n), "rr": roll("avg", "tr", n), "mid": roll("avg", "c", n)}]
 
 
+def from_zero(x: str, a: float) -> str:
+    """Exponential smoothing of the values of x that starts from 0."""
+    return now(x, f"list_reduce(list_prepend(CAST(0 AS DOUBLE), {so_far(x)}), lambda y, z: y + {a!r} * (z - y))")
+
+
+def _rsx(p: int) -> Layers:
+    out: Layers = [{"n": f"row_number() OVER ({S})", "d": f"100 * (c - {lag('c')})"}, {"a": f"CASE WHEN n > {p} THEN d END", "b": f"CASE WHEN n > {p} THEN abs(d) END"}]
+    for k in range(3):
+        for x in "ab":
+            y = f"{x}{k or ''}"
+            out += [{f"{x}_s": from_zero(y, 3 / (p + 2))}, {f"{x}_t": from_zero(f"{x}_s", 3 / (p + 2))}, {f"{x}{k + 1}": f"1.5 * {x}_s - 0.5 * {x}_t"}]
+    return [*out, {"values": f"CASE WHEN n >= {p + max(p - 1, 5)} AND b3 > 1e-10 THEN least(100, greatest(0, 50 * (a3 / b3 + 1))) WHEN n > {p} THEN 50 END"}]
+
+
+def _volume_adjusted(p: int, k: float) -> Layers:
+    newest = lambda x: f"list_reverse(list({x}) {over(10 * p + 1)})"
+    return [{"n": f"row_number() OVER ({S})", "u": f"{k} * avg(v) {ALL}", "xs": newest("c"), "vs": newest("v")}, {"ws": "list_transform(vs, lambda z: z / u)"},
+            {"m": f"coalesce(list_filter(range(1, least(len(ws), {10 * p}) + 1), lambda i: list_sum(ws[1:i]) >= {p})[1], least(len(ws), {10 * p}))"},
+            {"values": f"CASE WHEN n >= {p} THEN (list_sum(list_transform(range(1, m + 1), lambda i: ws[i] * xs[i])) + ({p} - list_sum(ws[1:m])) * xs[m + 1]) / {p} END"}]
+
+
+def _avsl(p: int, q: int, k: float) -> Layers:
+    mean = lambda x, n: roll("avg", x, n)
+    return [{"cv": "c * v"}, {"vpc": f"{roll('sum', 'cv', q)} / {roll('sum', 'v', q)} - {mean('c', q)}", "vpr": f"{roll('sum', 'cv', p)} / {roll('sum', 'v', p)} / {mean('c', p)}", "vm": f"{mean('v', p)} / {mean('v', q)}"},
+            {"vpci": "vpc * vpr * vm"}, {"reach": "least(200, greatest(1, round(CASE WHEN vpc < 0 THEN abs(vpci - 3) ELSE vpci + 3 END)))",
+             "part": "CASE WHEN vpc IS NULL THEN l ELSE l / (vpr * CASE WHEN vpc > -1 AND vpc < 0 THEN -1 WHEN vpc >= 0 AND vpc < 1 THEN 1 ELSE vpc END) END"},
+            {"ps": f"list_reverse(list(part) {over(200)})"}, {"pre": f"CASE WHEN vpc IS NOT NULL THEN l - list_sum(ps[1:CAST(reach AS INT)]) / reach / 100 + {k} * vpci * vm END"}, {"values": mean("pre", q)}]
+
+
 def _vpc(f: int, s: int) -> Layers:
     a = lambda p: f"({roll('sum', 'xv', p)} / {roll('sum', 'v', p)})"
     return [{"xv": "c * v"}, {"vpc": f"{a(s)} - {roll('avg', 'c', s)}", "vpr": f"{a(f)} / {roll('avg', 'c', f)}", "vm": f"{roll('avg', 'v', f)} / {roll('avg', 'v', s)}"}]
@@ -423,6 +452,9 @@ EXPRESSIONS: dict[str, Layers] = {
     "tsf": values(f"{LIN14[0]} + {LIN14[1]}"),
     "var": values(roll("var_pop", "c", 14)),
     "vosc": values(f"100 * ({roll('avg', 'v', 2)} - {roll('avg', 'v', 5)}) / {roll('avg', 'v', 5)}"),
+    "rsx": _rsx(14),
+    "volume_adjusted_ma": _volume_adjusted(13, 0.67),
+    "avsl": _avsl(12, 26, 2.0),
     "vpci": [*_vpc(5, 25), {"vpci": "vpc * vpr * vm"}, {"vpci": "vpci", "vpcis": f"{roll('sum', '(vpci * v)', 5)} / {roll('sum', 'v', 5)}"}],
     "vpt": values(f"CASE WHEN m IS NOT NULL THEN sum(m) {ALL} END", {"m": f"(c - {lag('c')}) / {lag('c')} * v"}),
     "vwmacd": [{"xv": "c * v"}, {"macd": f"{roll('sum', 'xv', 12)} / {roll('sum', 'v', 12)} - {roll('sum', 'xv', 26)} / {roll('sum', 'v', 26)}"}, {"macd": "macd", "s_": ema_mean("macd", 9), "k_": n_valid("macd")}, {"macd": "macd", "signal": "CASE WHEN k_ >= 9 THEN s_ END", "hist": "CASE WHEN k_ >= 9 THEN macd - s_ END"}],
