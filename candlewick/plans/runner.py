@@ -198,10 +198,22 @@ def for_params(swept: DataFrame, **params: Any) -> DataFrame:
 MOVING_AVERAGES = tuple(
     "sma ema dema tema smma zlema wma alma cwma cora_wave edcf fwma gaussian highpass highpass_2_pole hma jma jsa linreg kama ehlers_kama ehlers_itrend ehlers_ecema ehlers_pma ehma nama nma pwma reflex sinwma sqwma srwma swma supersmoother supersmoother_3_pole tilson trendflex trima wilders vpwma vwma dma epma sama maaq buff_averages frama volatility_adjusted_ma vwap tradjema uma volume_adjusted_ma mama mwdx hwma".split()
 )
+#: Moving averages whose parameters include no period that stands for them.
+WITHOUT_PERIOD = ("tradjema", "uma", "volume_adjusted_ma", "hwma", "mama", "mwdx", "vwap")
 ALIASES = {"highpass2": "highpass_2_pole", "vama": "volume_adjusted_ma"}
 
 
+class NoMovingAverage(ValueError):
+    """No moving average has this name."""
+
+
+class NotPeriodBased(ValueError):
+    """A moving average without a period was asked for by one."""
+
+
 def _period_key(op: Operator) -> str | None:
+    if op.name in WITHOUT_PERIOD:
+        return None
     return next((k for k in ("period", "length", "window", "warmup_bars", "hull_length", "base_period", "fast_period") if k in op.params), None)
 
 
@@ -209,12 +221,12 @@ def ma(df: DataFrame, ma_type: str, period: int | None = None, **how: Any) -> Da
     """A moving average by name, any case, with further parameters of its own."""
     name = ALIASES.get(ma_type.lower(), ma_type.lower())
     if name not in MOVING_AVERAGES:
-        raise ValueError(f"there is no moving average {ma_type!r}")
+        raise NoMovingAverage(f"there is no moving average {ma_type!r}")
     op = operator(name)
     if period is not None:
         key = _period_key(op)
-        if key is None or name in ("tradjema", "uma", "volume_adjusted_ma", "hwma", "mama", "mwdx", "vwap"):
-            raise ValueError(f"{name} has no period")
+        if key is None:
+            raise NotPeriodBased(f"{name} has no period")
         how[key] = period
     return apply(df, name, **how)
 
@@ -222,9 +234,10 @@ def ma(df: DataFrame, ma_type: str, period: int | None = None, **how: Any) -> Da
 def ma_batch(df: DataFrame, ma_type: str, period_range: tuple[int, int, int], **how: Any) -> DataFrame:
     """A sweep of a moving average's period."""
     name = ALIASES.get(ma_type.lower(), ma_type.lower())
-    key = _period_key(operator(name))
-    if name not in MOVING_AVERAGES or key is None:
-        raise ValueError(f"{ma_type} has no period to sweep")
+    if name not in MOVING_AVERAGES:
+        raise NoMovingAverage(f"there is no moving average {ma_type!r}")
+    if (key := _period_key(operator(name))) is None:
+        raise NotPeriodBased(f"{name} has no period to sweep")
     return sweep(df, name, {key: period_range}, **how)
 
 

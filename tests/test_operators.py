@@ -142,10 +142,14 @@ def test_moving_averages_by_name(spark):
     b = bars(spark, [50 + 10 * math.sin(i / 3) for i in range(120)])
     for n in runner.MOVING_AVERAGES:
         assert runner.ma(b, n.upper()).count() == 120
-    with pytest.raises(ValueError):
-        runner.ma(b, "hwma", 5)
-    with pytest.raises(ValueError):
-        runner.ma(b, "nothing")
+    for name in runner.WITHOUT_PERIOD:
+        with pytest.raises(runner.NotPeriodBased):
+            runner.ma(b, name, 5)
+        with pytest.raises(runner.NotPeriodBased):
+            runner.ma_batch(b, name, (5, 10, 5))
+    for call in (lambda: runner.ma(b, "nothing"), lambda: runner.ma_batch(b, "nothing", (5, 10, 5))):
+        with pytest.raises(runner.NoMovingAverage):
+            call()
     assert runner.list_moving_averages(spark).count() == len(runner.MOVING_AVERAGES) == 55
     assert {"key": "offset", "kind": "float", "default": 0.85} in runner.ma_param_schema("alma")
 
