@@ -44,7 +44,7 @@ LONG = 60
 #: Files whose places are in one row of a chunk, at the most about so many.
 FILES = 256
 #: Words that a reader gathers before it hands their chunks on.
-GATHERED = 150_000
+GATHERED = 250_000
 #: Documents that a reader turns into ids at a time.
 SOME = 1024
 #: Chunks whose edges a task groups in memory before it sorts them instead (some 100 MB).
@@ -302,7 +302,9 @@ def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
         split, place, got = re.compile(pattern), None, set()
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            chunks = {c for w in got for c in split.findall(_spaced(w))}
+            # letters alone are one chunk
+            chunks = {SPACE + w for w in got if w.isalpha()}
+            chunks.update(c for w in got if not w.isalpha() for c in split.findall(_spaced(w)))
             got.clear()
             rows = [c for c in chunks if 0 < len(c) <= LONG]
             for a in range(0, len(rows), 65536):
@@ -325,7 +327,7 @@ def dictionary(docs: DataFrame, model_path: str, text_col: str) -> str:
     # a row of a chunk has the places of some files only, however many files there are
     parts = max(1, len(docs.inputFiles()) // FILES)
     rows = rows.withColumn("part", F.pmod("_file", F.lit(parts)).cast("int"))
-    chunks = rows.groupBy("chunk", "part").agg(F.collect_list(F.struct("_file", "_start")).alias("places"))
+    chunks = rows.groupBy("chunk", "part").agg(F.collect_set(F.struct("_file", "_start")).alias("places"))
     path = new_path(spark, "chunk-ids")
     out = chunk_ids(chunks, model_path).select("chunk", "ids", F.explode("places").alias("place")).select("chunk", "ids", "place._file", "place._start")
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -361,10 +363,11 @@ class ChunkIds(dict):
                         for c, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:]):
                             self.chunks[c] = flat[a:b].tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        out = b"".join(self.chunks.get(c) or np.array(self.alone(c), "<u4").tobytes() for c in self.pattern.findall(_spaced(word)) if c)
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.chunks.get(word := _spaced(key))) is None:  # else the word is one chunk
+            out = b"".join(self.chunks.get(c) or np.array(self.alone(c), "<u4").tobytes() for c in self.pattern.findall(word) if c)
         if len(self) < 100_000:
-            self[word] = out
+            self[key] = out
         return out
 
 
