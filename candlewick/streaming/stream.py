@@ -1,7 +1,8 @@
 """Operators on streams.
 
-Folds keep one step for each series in the state store: a micro-batch's bars go through it
-in the order of time. Native operators look back on a fixed number of bars: the last ones of
+Folds, and the window averages as steps of their own (`averages`), keep one step for each
+series in the state store: a micro-batch's bars go through it in the order of time. Bars that
+come out of order can wait for the watermark. Other native operators look back on a fixed number of bars: the last ones of
 each series are kept as a small table beside the checkpoint, put in front of the next
 micro-batch, and the same window plan as in batch runs over both.
 """
@@ -21,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.registry import Operator, operator
 from ..plans import runner
 from ..sources.candles import source
+from . import averages
 
 #: Native operators that sum from the first bar on run as these folds on a stream.
 TWINS = {"ad": "stream_ad", "obv": "stream_obv", "wad": "stream_wad", "vpt": "stream_vpt", "emv": "stream_emv"}
@@ -95,37 +97,68 @@ def _as_fold(op: Operator) -> Operator:
     return replace(op, make=_cumulative(op.name), native=False) if op.native else op
 
 
-def stream(bars: DataFrame, name: str, *, series: str = "series", ts: str = "ts", columns: dict[str, str] | None = None, **params: Any) -> DataFrame:
-    """A streaming DataFrame of (series, ts, outputs) of a recursive or cumulative operator.
+class _Window:
+    """A window average's step, which sees bars with missing values too."""
 
-    The state is the pickled step and the time of its last bar. Bars of one micro-batch are
-    sorted; a bar not later than the last one seen has come too late and is left out."""
+    def __init__(self, name: str, params: dict[str, Any]):
+        self.step = averages.step(name, **params)
+
+    def __call__(self, row: tuple) -> tuple:
+        out = self.step(*row)
+        return out if isinstance(out, tuple) else (out,)
+
+
+def stream(bars: DataFrame, name: str, *, series: str = "series", ts: str = "ts", columns: dict[str, str] | None = None, delay: str | None = None, **params: Any) -> DataFrame:
+    """A streaming DataFrame of (series, ts, outputs) of a recursive or cumulative operator, or
+    of a window average.
+
+    The state is the pickled step, the time of its last bar and the bars that wait. Without
+    `delay` the bars of one micro-batch are sorted and go through the step at once; a bar not
+    later than the last one seen has come too late and is left out. With `delay` (an interval)
+    bars wait until the watermark, that far behind the latest bar of all series, has passed
+    them, so bars in any order within it give what they give in order; of bars of one time
+    the first to come counts. Bars that the watermark never passes are not shown, nor
+    are bars without a time and, as a watermark starts there, with `delay` those of 1970-01-01
+    00:00 UTC or before."""
     op = operator(name)
-    if op.native and op.name not in TWINS:
+    window = op.native and op.name in averages.STEPS
+    if op.native and not window and op.name not in TWINS:
         raise ValueError(f"{name} looks back on a fixed number of bars; use stream_batches")
-    op, params = _as_fold(op), op.checked(params)
-    ins = [source(bars, (columns or {}).get(i, op.source(i))).cast("double").alias(f"i{k}") for k, i in enumerate(op.inputs)]
-    slim = bars.select(F.col(series).alias("series"), F.col(ts).alias("ts"), *ins)
+    op, params = op if window else _as_fold(op), op.checked(params)
+    seconds = (F.unix_micros(F.col(ts)) / 1e6).alias("seconds")
+    ins = [(seconds if i == "ts" else source(bars, (columns or {}).get(i, op.source(i))).cast("double")).alias(f"i{k}") for k, i in enumerate(op.inputs)]
+    slim = bars.select(F.col(series).alias("series"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts)).alias("us"), *ins)
+    slim = slim.where(F.col("ts").isNotNull())
+    if delay:
+        slim = slim.withWatermark("ts", delay)
     series_type = slim.schema["series"].dataType
     out = T.StructType([T.StructField("series", series_type), T.StructField("ts", T.TimestampType()), *(T.StructField(o, T.DoubleType()) for o in op.outputs)])
-    state_type = T.StructType([T.StructField("step", T.BinaryType()), T.StructField("last", T.TimestampType())])
+    state_type = T.StructType([T.StructField("step", T.BinaryType()), T.StructField("last", T.LongType()), T.StructField("waiting", T.BinaryType())])
+    names = [f"i{k}" for k in range(len(op.inputs))]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        if state.exists:
-            step, last = cloudpickle.loads(state.get[0]), pd.Timestamp(state.get[1])
-            pdf = pdf[pdf["ts"] > last]
-        else:
-            step = runner.runner(op, params)
-        rows = [step(r) for r in pdf[[f"i{k}" for k in range(len(op.inputs))]].astype(float).itertuples(index=False, name=None)]
-        if len(pdf):
-            state.update((cloudpickle.dumps(step), pdf["ts"].iloc[-1].to_pydatetime()))
+        new = [] if state.hasTimedOut else list(batches)
+        step, last, waiting = (cloudpickle.loads(state.get[0]), state.get[1], cloudpickle.loads(state.get[2])) if state.exists else (_Window(op.name, params) if window else runner.runner(op, params), None, None)
+        pdf = pd.concat([*([] if waiting is None else [waiting]), *new]).sort_values("us", kind="stable")
+        if last is not None:
+            pdf = pdf[pdf["us"] > last]
+        rest = None
+        if delay:
+            pdf = pdf.drop_duplicates("us")
+            passed = pdf["us"] <= state.getCurrentWatermarkMs() * 1000
+            pdf, rest = pdf[passed], pdf[~passed]
+        rows = [step(r) for r in pdf[names].astype(float).itertuples(index=False, name=None)]
+        last = int(pdf["us"].iloc[-1]) if len(pdf) else last
+        if delay or len(pdf):
+            state.update((cloudpickle.dumps(step), last, cloudpickle.dumps(rest)))
+        if rest is not None and len(rest):
+            state.setTimeoutTimestamp(max(int(rest["us"].iloc[0]) // 1000, state.getCurrentWatermarkMs()) + 1)
         got = pd.DataFrame(rows, columns=list(op.outputs), dtype=float)
         got.insert(0, "ts", pdf["ts"].to_numpy())
         got.insert(0, "series", key[0])
         yield got
 
-    return slim.groupBy("series").applyInPandasWithState(run, out, state_type, "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("series").applyInPandasWithState(run, out, state_type, "append", GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout)
 
 
 def lookback(op: Operator, params: dict[str, Any]) -> int:
@@ -158,9 +191,14 @@ def stream_batches(name: str, tail_path: str, sink: Callable[[DataFrame, int], N
     return each
 
 
-def ma_stream(bars: DataFrame, ma_type: str, period: int, **how: Any) -> DataFrame:
-    """A recursive moving average of a stream by name; an unknown name is an error."""
+def ma_stream(bars: DataFrame, ma_type: str, period: int | None = None, **how: Any) -> DataFrame:
+    """A moving average of a stream by name, any of those that `ma` takes; an unknown name is
+    an error, and so is a period for one that has none."""
     name = runner.ALIASES.get(ma_type.lower(), ma_type.lower())
     if name not in runner.MOVING_AVERAGES:
-        raise ValueError(f"there is no moving average {ma_type!r}")
-    return stream(bars, name, **{runner._period_key(operator(name)): period}, **how)
+        raise runner.NoMovingAverage(f"there is no moving average {ma_type!r}")
+    if period is not None:
+        if (key := runner._period_key(operator(name))) is None:
+            raise runner.NotPeriodBased(f"{name} has no period")
+        how[key] = period
+    return stream(bars, name, **how)
