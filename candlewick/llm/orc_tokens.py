@@ -69,21 +69,31 @@ class WordIds(dict):
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
+        at = self.bytes
+        return b"".join([at[t.id] for t in self.model.tokenize(shown)])
+
     def _cut(self, word: str) -> bytes:
+        pieces = PIECES.findall(word.lower())
+        if len(pieces) == 1:  # the word's own entry is enough
+            return self.pieces.get(pieces[0]) or self._piece(pieces[0])
         out: list[bytes] = []
-        for piece in PIECES.findall(word.lower()):
+        for piece in pieces:
             ids = self.pieces.get(piece)
             if ids is None:
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
-                ids = b"".join([self.bytes[t.id] for t in self.model.tokenize(shown)])
+                ids = self._piece(piece)
                 if len(self.pieces) < CACHE:
                     self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        out = self._cut(text) if self.plain and PLAIN.fullmatch(text) and "<|" not in text else self._whole(text)
+        if self.plain and word.isalpha():  # ASCII letters: one piece
+            out = self._piece(word.decode("ascii").lower())
+        else:
+            text = word.decode("utf-8")
+            out = self._cut(text) if self.plain and PLAIN.fullmatch(text) and "<|" not in text else self._whole(text)
         if len(self) < CACHE:
             self[word] = out
         return out
