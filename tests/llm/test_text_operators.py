@@ -413,6 +413,22 @@ def test_lines_of_repeated_rows(spark):
     assert line_dedup.deduplicated_documents(df).count() == 6
 
 
+def test_rarity_takes_a_part_of_each_text_and_only_orders(spark, monkeypatch):
+    rng = random.Random(5)
+    long = ["".join(rng.choice("aé日 \n") for _ in range(n)) for n in (0, 1, 127, 128, 129, 5000)]
+    df = spark.createDataFrame([(t,) for t in [None, *long]], "text string")
+    for t, part in df.select("text", line_dedup._passage(F.col("text"))).collect():
+        assert part is None if t is None else part in t and len(part) == min(len(t), max(128, len(t) // 16))
+    vocab = [f"w{i}" for i in range(50)]
+    rows = [(d, "\n".join(" ".join(rng.choices(vocab, [1 / (k + 1) for k in range(50)], k=rng.randint(2, 9))) for _ in range(5))) for d in range(40)]
+    want = brute_dropped(rows)
+    for part, least in ((16, 128), (10**6, 1)):  # as it is, and next to nothing
+        monkeypatch.setattr(line_dedup, "PART", part)
+        monkeypatch.setattr(line_dedup, "LEAST", least)
+        got = line_dedup.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.dropped for r in got} == {d: ",".join(map(str, x)) for d, x in want.items()}
+
+
 # op9
 
 
