@@ -31,6 +31,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -391,7 +392,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, place, single = re.compile(pattern), None, alone(model_path)
-        back = decoder(load(model_path)) if decoded else None
+        back = texts_of(load(model_path)) if decoded else None
         for batch in (whole.slice(k, SOME) for whole in batches for k in range(0, whole.num_rows, SOME)):
             parts = []
             for text, file, start in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -408,7 +409,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             ids = np.frombuffer(b"".join(parts), "<u4").view(np.int32)
             out = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
             if back:
-                out.append(pa.array((back(np.frombuffer(p, "<u4").tolist()) for p in parts), pa.string()))
+                out.append(back(ids, offsets))
             yield pa.RecordBatch.from_arrays(out, names)
             parts = ids = out = batch = None
         known = None
@@ -417,10 +418,30 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *_split_key()).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
+def _shown(pieces: Pieces) -> list[bytes]:
+    byte = {i: bytes([k]) for k, i in enumerate(pieces.byte_ids)}
+    return [byte.get(i) or (t.replace(SPACE, " ").encode() if pieces.usable[i] else b"") for i, t in enumerate(pieces.texts)]
+
+
+def texts_of(pieces: Pieces):
+    """(ids of many texts in turn, where each begins and the last ends) -> the texts. For ids
+    of whole texts: their bytes are UTF-8."""
+    table = pa.array(_shown(pieces), pa.large_binary())
+
+    def back(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        # the taken pieces lie one behind the other: the texts need only other ends
+        taken = table.take(pa.array(ids))
+        _, ends, data = taken.buffers()
+        at = np.frombuffer(ends, np.int64, len(taken) + 1)[offsets] if len(taken) else np.zeros(len(offsets), np.int64)
+        whole = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(at), data or pa.py_buffer(b""))
+        return pc.utf8_slice_codeunits(whole, 1).cast(pa.string())
+
+    return back
+
+
 def decoder(pieces: Pieces):
     """ids -> text."""
-    byte = {i: bytes([k]) for k, i in enumerate(pieces.byte_ids)}
-    shown = [byte.get(i) or (t.replace(SPACE, " ").encode() if pieces.usable[i] else b"") for i, t in enumerate(pieces.texts)]
+    shown = _shown(pieces)
     return lambda ids: b"".join(map(shown.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 

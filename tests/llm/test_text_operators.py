@@ -545,6 +545,18 @@ def test_pieces_are_the_librarys(spark):
     assert sentencepiece_lattice.encode(empty(spark), model).count() == 0
 
 
+def test_texts_of_many_rows_at_once():
+    model = queries.tokenizer_path("piece_bpe_32k.model")
+    pieces, single = sentencepiece_lattice.load(model), sentencepiece_lattice.alone(model)
+    back, one = sentencepiece_lattice.texts_of(pieces), sentencepiece_lattice.decoder(pieces)
+    texts = ["", "plain words", "", " two  spaces ", "日本 \U0001f600é\x00", "a\n\nb", ""]
+    rows = [single("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    got = back(np.array(sum(rows, []), np.int32), ends)
+    assert str(got.type) == "string" and got.to_pylist() == texts == [one(r) for r in rows]
+    assert back(np.array([], np.int32), np.zeros(3, np.int32)).to_pylist() == ["", ""]
+
+
 def test_viterbi_of_a_unigram_model(spark):
     texts_ = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "ca"]
     scores = [-3.0, -2.0, -2.0, -2.5, -3.1, -2.2, -6.0, -2.7, -1.9]
