@@ -17,9 +17,10 @@ def ad(b, h, l, c, v):  # noqa: E741
 
 @native(memory=lambda period: period)
 def correl_hl(b, h, l, period=5):  # noqa: E741
+    """0 where either price stands still: F.corr would divide by zero there, an error in ANSI mode."""
     both = b.let(F.when(h.isNotNull() & l.isNotNull(), F.lit(1.0)))
-    r = F.corr(h, l).over(b.rows(period))
-    return F.when(F.count(both).over(b.rows(period)) == period, F.when((b.std(h, period) == 0) | (b.std(l, period) == 0) | F.isnan(r), F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0))))
+    r = F.try_divide(F.covar_pop(h, l).over(b.rows(period)), b.std(h, period) * b.std(l, period))
+    return F.when(F.count(both).over(b.rows(period)) == period, F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)))
 
 
 @native(memory=lambda period, devtype: period)

@@ -65,6 +65,28 @@ def test_dec_osc_and_its_sweep(spark):
     near(column(runner.for_params(swept, hp_period=10, k=1.0), "values"), one)
 
 
+def test_correl_hl_of_flat_prices(spark):
+    """0 where high, low or both stand still; Pearson's r elsewhere, of tiny moves too; null in short or broken windows."""
+    high = [5, 5, 5, 5, 6, 8, 7, 9, 9, 9, 9, None, 9, 8, 7]
+    low = [1, 2, 1, 3, 2, 4, 4, 4, 4, 4, 4, 4, 3, 2, 1]
+    tiny = [k * k % 5 * 1e-90 for k in range(9)]
+    pairs = {"a": (high, low), "b": (low, low[::-1]), "c": (tiny, tiny[::-1])}
+    rows = [(s, i, *(None if v is None else float(v) for v in both)) for s, (hs, ls) in pairs.items() for i, both in enumerate(zip(hs, ls))]
+    df = spark.createDataFrame(rows, "series string, ts long, high double, low double")
+
+    def r(hs, ls):
+        if None in hs or len(hs) < 3:
+            return None
+        if len(set(hs)) == 1 or len(set(ls)) == 1:
+            return 0.0
+        a, b = ([v - sum(xs) / 3 for v in xs] for xs in (hs, ls))
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(v * v for v in a)) / math.sqrt(sum(v * v for v in b))
+
+    want = [r(hs[max(0, i - 2) : i + 1], ls[max(0, i - 2) : i + 1]) for hs, ls in pairs.values() for i in range(len(hs))]
+    near(column(runner.apply(df, "correl_hl", period=3), "correl_hl"), want)
+    assert want[2] == want[3] == want[8] == want[9] == 0.0 and want[11:14] == [None] * 3
+
+
 def test_derived_sources(spark):
     from pyspark.sql import functions as F
 
